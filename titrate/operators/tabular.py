@@ -45,7 +45,7 @@ def fields(line: Column, delimiter: Column) -> Column:
     """Trimmed fields of one line; a quoted field may hold the delimiter and doubled quotes."""
     # A line always ends one field, so one delimiter is added and each match ends at a delimiter.
     ended = F.concat(line, delimiter)
-    whole = F.regexp_extract_all(ended, F.concat(F.lit('(\\s*(?:"(?:[^"]|"")*"[^"]*?|(?:(?!'), _literal(delimiter),
+    whole = F.regexp_extract_all(ended, F.concat(F.lit('(\\s*(?:"[^"]*+(?:""[^"]*+)*+"[^"]*?|(?:(?!'), _literal(delimiter),
                                                  F.lit(").)*?)"), _literal(delimiter), F.lit(")")), F.lit(1))
     bare = F.transform(whole, lambda w: clip(F.substring(w, F.lit(1), F.length(w) - 1)))
     unquoted = F.transform(
@@ -62,7 +62,7 @@ def joined_records(rest: Column) -> Column:
     text = F.array_join(rest, "\n")
     balanced = F.forall(rest, lambda l: F.pmod(F.length(l) - F.length(F.replace(l, F.lit('"'), F.lit(""))), F.lit(2)) == 0)
     records = F.regexp_extract_all(
-        F.concat(text, F.lit("\n")), F.lit('((?:[^"\\n]|"(?:[^"]|"")*")*)\\n'), F.lit(1)
+        F.concat(text, F.lit("\n")), F.lit('((?:[^"\\n]++|"[^"]*+(?:""[^"]*+)*+")*+)\\n'), F.lit(1)
     )
     return F.when(balanced, rest).otherwise(records)
 
@@ -270,11 +270,15 @@ def archive_identity(exports: DataFrame) -> DataFrame:
     ``named_cells`` (array of struct(group, held)). Adds sample_number and mismatch (NULL when all agree).
     """
     whole = F.concat(F.lit("\\A(?:"), F.col("name_pattern"), F.lit(")\\z"))
-    named = F.regexp_extract("export_name", whole, F.col("sample_group"))
-    recorded = clip(F.coalesce(F.get_json_object("run_record", F.concat(F.lit("$."), F.col("sample_field"))), F.lit("")))
+    
+    def group(number: Column) -> Column:
+        return F.call_function("regexp_extract", F.col("export_name"), whole, number)
+
+    named = group(F.col("sample_group"))
+    recorded = clip(F.coalesce(F.call_function("get_json_object", F.col("run_record"), F.concat(F.lit("$."), F.col("sample_field"))), F.lit("")))
     wrong_cell = F.exists(
         "named_cells",
-        lambda c: c["held"].isNull() | ~F.endswith(c["held"], F.regexp_extract("export_name", whole, c["group"])),
+        lambda c: c["held"].isNull() | ~F.endswith(c["held"], group(c["group"])),
     )
     mismatch = (
         F.when(~F.rlike(F.col("export_name"), whole), "name")
