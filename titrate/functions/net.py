@@ -12,9 +12,14 @@ IPV4 = r"\A[0-9]{1,3}(?:\.[0-9]{1,3}){3}\z"
 
 def ipv4_number(address: Column) -> Column:
     """Dotted quad as a LONG; NULL when it is not one or an octet exceeds 255."""
-    octet = [F.split_part(address, F.lit("."), F.lit(i)).try_cast("int") for i in (1, 2, 3, 4)]
-    value = octet[0].cast("long") * 16777216 + octet[1] * 65536 + octet[2] * 256 + octet[3]
-    return F.when(address.rlike(IPV4) & (F.greatest(*octet) <= 255), value)
+
+    def number(octets: Column) -> Column:
+        at = lambda i: F.get(octets, F.lit(i))
+        value = at(0).cast("long") * 16777216 + at(1) * 65536 + at(2) * 256 + at(3)
+        return F.when(F.array_max(octets) <= 255, value)
+
+    octets = F.transform(F.split(address, r"\."), lambda o: o.try_cast("int"))
+    return F.when(address.rlike(IPV4), let(octets, number))
 
 
 def ipv4_text(number: Column) -> Column:
@@ -69,11 +74,19 @@ def _ipv6_text(groups: Column) -> Column:
     return F.when(mapped, ipv4_text(mapped_v4)).otherwise(v6)
 
 
-def cidr_bounds(entry: Column) -> tuple[Column, Column]:
-    """Lowest and highest address number of an IPv4 address or CIDR range; NULL for a bad entry."""
-    value = clip(entry)
-    base = ipv4_number(clip(F.split_part(value, F.lit("/"), F.lit(1))))
-    bits = F.when(value.contains("/"), clip(F.split_part(value, F.lit("/"), F.lit(2))).try_cast("int")).otherwise(32)
-    size = F.when(bits.between(0, 32), F.pow(F.lit(2.0), F.lit(32) - bits).cast("long"))
-    low = base - F.pmod(base, size)
-    return low, low + size - 1
+def cidr_range(entry: Column) -> Column:
+    """(low, high, bits) of an IPv4 address or CIDR range; NULL for an entry that is neither."""
+
+    def of_pieces(p: Column) -> Column:
+        declared = F.when(F.size(p) == 1, F.lit(32)).otherwise(clip(F.get(p, F.lit(1))).try_cast("int"))
+        return F.struct(ipv4_number(clip(F.get(p, F.lit(0)))).alias("base"), declared.alias("bits"))
+
+    def bounds(b: Column) -> Column:
+        size = F.pow(F.lit(2.0), F.lit(32) - b["bits"]).cast("long")
+        low = b["base"] - F.pmod(b["base"], size)
+        return F.when(
+            b["base"].isNotNull() & b["bits"].between(0, 32),
+            F.struct(low.alias("low"), (low + size - 1).alias("high"), b["bits"].alias("bits")),
+        )
+
+    return let(let(F.split(clip(entry), "/", 2), of_pieces), bounds)

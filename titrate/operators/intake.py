@@ -96,7 +96,7 @@ def encoded_payload(content: Column) -> Column:
     utf8 = F.is_valid_utf8(content.cast("string"))
     return F.struct(
         F.when(utf8, "UTF8").otherwise("BASE64").alias("encoding"),
-        F.when(utf8, content.cast("string")).otherwise(F.base64(content)).alias("payload"),
+        F.when(utf8, content.cast("string")).otherwise(F.replace(F.base64(content), F.lit("\r\n"), F.lit(""))).alias("payload"),
     )
 
 
@@ -188,19 +188,18 @@ def first_component(hint: Column) -> Column:
 
 
 def allowed_ranges(entries: DataFrame) -> DataFrame:
-    """Address ranges of the listed entries; ``low`` is NULL for an entry that is neither address nor range."""
-    from ..functions.net import cidr_bounds
+    """Address ranges of the listed entries; NULL bounds for an entry that is neither address nor range."""
+    from ..functions.net import cidr_range
 
-    low, high = cidr_bounds(F.col("entry"))
-    return entries.select("entry", low.alias("low"), high.alias("high"))
+    return entries.select("entry", F.explode_outer(F.array(cidr_range(F.col("entry")))).alias("r")).select(
+        "entry", "r.low", "r.high", "r.bits")
 
 
-def merged_ranges(ranges: DataFrame) -> DataFrame:
-    """Ranges as prefix keys: (bits, prefix) pairs, one per entry, so that membership is an equi join."""
-    bits = F.lit(32) - F.round(F.log2(F.col("high") - F.col("low") + 1)).cast("int")
+def range_keys(ranges: DataFrame) -> DataFrame:
+    """Ranges as (bits, prefix) keys, so that membership is an equi join."""
+    size = F.pow(F.lit(2.0), F.lit(32) - F.col("bits"))
     return ranges.filter("low IS NOT NULL").select(
-        bits.alias("bits"), F.floor(F.col("low") / F.pow(F.lit(2.0), F.lit(32) - bits)).cast("long").alias("prefix")
-    ).distinct()
+        "bits", F.floor(F.col("low") / size).cast("long").alias("prefix")).distinct()
 
 
 def admitted(connections: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -208,7 +207,7 @@ def admitted(connections: DataFrame, ranges: DataFrame) -> DataFrame:
     (33 at most), which keeps the join an equi join however many ranges there are."""
     from ..functions.net import ipv4_number
 
-    keys = merged_ranges(ranges)
+    keys = range_keys(ranges)
     prefixes = let(
         ipv4_number(canonical_ip(F.col("peer"))),
         lambda n: F.transform(F.sequence(F.lit(0), F.lit(32)), lambda b: F.struct(
