@@ -201,10 +201,11 @@ def off_scale_limit(range_text: Column, flag: Column) -> Column:
     return F.when((F.size(ends) == 2) & filled(chosen), clip(chosen))
 
 
-def with_parts(result_rows: DataFrame, keep: Column | None = None) -> DataFrame:
+def with_parts(result_rows: DataFrame, keep: Column | None = None, keep_flags: bool = False) -> DataFrame:
     """The reading by declared parts. Needs a ``parts`` struct (D15) and ``decimal_separator``.
 
-    Adds p_* text columns for every declared part of the R record and the interpreted parts.
+    Adds p_* text columns for every declared part of the R record and the interpreted parts. ``keep_flags`` lets
+    records that report a sample flag through, so that one pass serves results and flags.
     """
     fields = F.col("fields")
     on_result = [p for p in ASTM_PARTS if p not in ("note", "patientId", "patientName", "specimenDescriptor")]
@@ -212,7 +213,8 @@ def with_parts(result_rows: DataFrame, keep: Column | None = None) -> DataFrame:
     if keep is not None:
         rows = rows.filter(keep)
     rows = rows.withColumns({f"p_{p}": field(fields, F.col(f"parts.{p}")) for p in on_result})
-    rows = rows.filter((F.col("p_testCode") != "") & ((F.col("p_call") != "") | (F.col("p_number") != "")))
+    says = (F.col("p_testCode") != "") & ((F.col("p_call") != "") | (F.col("p_number") != ""))
+    rows = rows.filter(says | F.col("flag").isNotNull() if keep_flags else says)
     analyte = F.when(F.col("p_assayName") == "", F.col("p_analyte")).otherwise("")
     flag, number, call = F.col("p_flag"), F.col("p_number"), F.col("p_call")
     off_scale = flag.isin("<", ">")

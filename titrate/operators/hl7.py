@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import join_dimension
 from ..functions.text import (
     blank_to_null, canonical_number, clip, empty_to_null, filled, is_bounded_decimal, let, literal_pattern, part,
     pieces,
@@ -125,11 +126,18 @@ def headers(groups: DataFrame, *carry: str) -> DataFrame:
     ).withColumn("last_patient", fields_of(_last_line(F.col("_text"), "PID", fs), fs))
 
 
-def observations(groups: DataFrame, *carry: str, context: tuple[str, ...] = CONTEXT) -> DataFrame:
+def observations(
+    groups: DataFrame, *carry: str, context: tuple[str, ...] = CONTEXT, descriptor_refs: DataFrame | None = None
+) -> DataFrame:
     """one row per OBX with ``ctx_<SEG>`` field arrays (nearest preceding segment of each type), the lines
-    after it and its specimen id."""
+    after it and its specimen id. With ``descriptor_refs`` (connection_id, descriptor_ref) the group's specimen
+    descriptor comes along."""
     keys = ("message_id", "group_no", "n_groups", "content_hash")
     rows = headers(groups, *carry)
+    if descriptor_refs is not None:
+        rows = join_dimension(rows, descriptor_refs, ["connection_id"]).withColumn(
+            "descriptor", specimen_descriptor(F.col("descriptor_ref")))
+        carry = (*carry, "descriptor")
     fs = F.col("fs")
     obx = _starts("OBX", fs)
 
@@ -251,13 +259,14 @@ def structured_number(value: Column, cs: Column) -> Column:
     return let(F.when(cs == "^", pieces(value, "^")).otherwise(pieces(value, cs)), of_pieces)
 
 
-def with_parts(obs: DataFrame, context: tuple[str, ...] = CONTEXT) -> DataFrame:
+def with_parts(obs: DataFrame, context: tuple[str, ...] = CONTEXT, keep_flags: bool = False) -> DataFrame:
     """the reading by declared parts. Needs ``hl7_parts``, ``decimal_separator``, ``specimen_position``."""
     cs, rs = F.col("cs"), F.col("rs")
     at_reading = specimen_at_reading(F.col("specimen_position"))
     on_result = [p for p in HL7_PARTS if p not in ("note", "patientId", "patientName", "specimenDescriptor")]
     rows = obs.withColumns({f"p_{p}": read(F.col(f"hl7_parts.{p}"), context, at_reading) for p in on_result})
-    rows = rows.filter((F.col("p_testCode") != "") & (F.col("p_value") != ""))
+    says = (F.col("p_testCode") != "") & (F.col("p_value") != "")
+    rows = rows.filter(says | F.col("flag").isNotNull() if keep_flags else says)
     value_type = clip(nth(F.col("ctx_OBX"), 2))
     value = F.col("p_value")
     is_sn = value_type == "SN"

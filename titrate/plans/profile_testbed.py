@@ -41,8 +41,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     first = F.concat(
         js('{"test_code": "A1", "aliases": ["a'), k.cast("string"), js('", "alpha"], "loinc": "1000-1"'),
-        F.when(d == 9, "").otherwise(', "result_type": "quantitative"'), F.when(d == 7, "").otherwise(', "call_component": "call"'),
-        F.when(d == 20, ', "call_component": "nowhere"').otherwise(""), js(", "), values, js(', "components": '), components, js("}"),
+        F.when(d == 9, "").otherwise(', "result_type": "quantitative"'), F.when(d == 7, "").when(d == 20, ', "call_component": "nowhere"')
+        .otherwise(', "call_component": "call"'), js(", "), values, js(', "components": '), components, js("}"),
     )
     fields = F.concat(
         js('[{"key": "transport", "inputKind": "SELECT", "required": true, "choices": [{"value": "TCP/IP"}, {"value": "RS-232"}]}, '
