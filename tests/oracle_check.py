@@ -63,6 +63,7 @@ def main(prefixes):
     from titrate.session import build_session
 
     sf_dir = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
+    os.environ.setdefault("PYSPARK_SUBMIT_ARGS", "--driver-memory 8g pyspark-shell")
     spark = build_session("local[8]", 8)
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CONTROL_AND_SPACE = "".join(chr(c) for c in range(0x21))
@@ -19,6 +19,18 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that later expressions use many times, each computed a single time per row.
+
+    Plain projections are merged by the optimizer, which copies their expressions into every use; a one-element
+    explode is a step it does not merge across.
+    """
+    packed = F.struct(*[c.alias(n) for n, c in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.explode_outer(F.array(packed)).alias("_once")).select(
+        *kept, *[F.col(f"_once.{n}").alias(n) for n in columns])
+
+
 def clip(value: Column) -> Column:
     """Strip every character up to U+0020 from both ends (plain ``trim`` strips the space only)."""
     return F.btrim(value, F.lit(CONTROL_AND_SPACE))

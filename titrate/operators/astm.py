@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import blank_to_null, canonical_number, clip, empty_to_null, filled, is_bounded_decimal, let, part, pieces
+from ..functions.text import blank_to_null, canonical_number, clip, computed_once, empty_to_null, filled, is_bounded_decimal, let, part, pieces
 from ..functions.times import astm_time
 from ..schemas import ASTM_PARTS
 
@@ -179,8 +179,7 @@ def established(result_rows: DataFrame, keep: Column | None = None) -> DataFrame
     if keep is not None:
         rows = rows.filter(keep)
     rows = (
-        rows.withColumn("test_code", established_code(fields))
-        .withColumn("raw_value", established_value(fields))
+        computed_once(rows, {"test_code": established_code(fields), "raw_value": established_value(fields)})
         .filter(F.col("test_code").isNotNull() & F.col("raw_value").isNotNull())
         .withColumn("is_numeric", is_bounded_decimal(F.col("raw_value")))
     )
@@ -212,7 +211,7 @@ def with_parts(result_rows: DataFrame, keep: Column | None = None, keep_flags: b
     rows = result_rows.filter(F.col("specimen_id").isNotNull())
     if keep is not None:
         rows = rows.filter(keep)
-    rows = rows.withColumns({f"p_{p}": field(fields, F.col(f"parts.{p}")) for p in on_result})
+    rows = computed_once(rows, {f"p_{p}": field(fields, F.col(f"parts.{p}")) for p in on_result})
     says = (F.col("p_testCode") != "") & ((F.col("p_call") != "") | (F.col("p_number") != ""))
     rows = rows.filter(says | F.col("flag").isNotNull() if keep_flags else says)
     analyte = F.when(F.col("p_assayName") == "", F.col("p_analyte")).otherwise("")
@@ -296,13 +295,14 @@ def flag_reading(result_rows: DataFrame) -> DataFrame:
     def get(name: str) -> Column:
         return field(F.col("fields"), F.col(f"parts.{name}"))
 
-    rows = result_rows.withColumns(
+    rows = computed_once(
+        result_rows,
         {
             "_value": F.when(get("call") != "", get("call")).otherwise(get("number")),
             "_assay": get("assayName"),
             "_sub": sub_identity(F.when(get("assayName") == "", get("analyte")).otherwise(""), get("complement")),
             "_code": get("testCode"),
-        }
+        },
     )
     return rows.withColumn(
         "flag",

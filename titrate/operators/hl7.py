@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.joins import join_dimension
 from ..functions.text import (
-    blank_to_null, canonical_number, clip, empty_to_null, filled, is_bounded_decimal, let, literal_pattern, part,
+    blank_to_null, canonical_number, clip, computed_once, empty_to_null, filled, is_bounded_decimal, let, literal_pattern, part,
     pieces,
 )
 from ..functions.times import hl7_time
@@ -264,13 +264,13 @@ def with_parts(obs: DataFrame, context: tuple[str, ...] = CONTEXT, keep_flags: b
     cs, rs = F.col("cs"), F.col("rs")
     at_reading = specimen_at_reading(F.col("specimen_position"))
     on_result = [p for p in HL7_PARTS if p not in ("note", "patientId", "patientName", "specimenDescriptor")]
-    rows = obs.withColumns({f"p_{p}": read(F.col(f"hl7_parts.{p}"), context, at_reading) for p in on_result})
+    rows = computed_once(obs, {f"p_{p}": read(F.col(f"hl7_parts.{p}"), context, at_reading) for p in on_result})
     says = (F.col("p_testCode") != "") & (F.col("p_value") != "")
     rows = rows.filter(says | F.col("flag").isNotNull() if keep_flags else says)
     value_type = clip(nth(F.col("ctx_OBX"), 2))
     value = F.col("p_value")
     is_sn = value_type == "SN"
-    rows = rows.withColumns({"_sn": is_sn, "_s": F.when(is_sn, structured_number(value, cs))}).withColumns(
+    rows = computed_once(rows, {"_sn": is_sn, "_s": F.when(is_sn, structured_number(value, cs))}).withColumns(
         {
             "_canonical": canonical_number(
                 F.when(F.col("_sn"), F.col("_s.number")).otherwise(value), F.col("decimal_separator")
@@ -373,12 +373,13 @@ def flag_reading(obs: DataFrame, context: tuple[str, ...] = CONTEXT) -> DataFram
     from .astm import flag_of
 
     at_reading = specimen_at_reading(F.col("specimen_position"))
-    rows = obs.withColumns(
+    rows = computed_once(
+        obs,
         {
             "_code": read(F.col("hl7_parts.testCode"), context, at_reading),
             "_name": read(name_beside(F.col("hl7_parts.testCode")), context, at_reading),
             "_value": read(F.col("hl7_parts.value"), context, at_reading),
-        }
+        },
     )
     return rows.withColumn("flag", flag_of(F.col("_code"), F.col("_name"), F.col("_value"))).drop(
         "_code", "_name", "_value"

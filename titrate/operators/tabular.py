@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.joins import join_dimension
-from ..functions.text import blank_to_null, canonical_number, clip, filled, is_bounded_decimal, let
+from ..functions.text import blank_to_null, canonical_number, clip, computed_once, filled, is_bounded_decimal, let
 from . import recognition
 from .interpret import is_run_failure, profile_code
 
@@ -107,8 +107,8 @@ def _last_position(header: Column, key: Column) -> Column:
 
 def semantic_fields(rows: DataFrame) -> DataFrame:
     """Every semantic field as a column, from header, cells and the reading's column mapping."""
-    return rows.withColumns(
-        {n: semantic(F.col("header"), F.col("cells"), F.col("column_mapping"), n) for n in SEMANTIC}
+    return computed_once(
+        rows, {n: semantic(F.col("header"), F.col("cells"), F.col("column_mapping"), n) for n in SEMANTIC}
     )
 
 
@@ -135,6 +135,7 @@ def rows_to_results(rows: DataFrame) -> DataFrame:
             "raw_value": selected_value(F.col("value_order")),
         }
     )
+    out = computed_once(out, {"raw_value": F.col("raw_value"), "test_code": F.col("test_code")})
     return out.filter("specimen_id IS NOT NULL AND test_code IS NOT NULL AND raw_value IS NOT NULL").withColumn(
         "effective", blank_to_null(F.col("testDate"))
     )
@@ -172,7 +173,7 @@ def recognized(rows: DataFrame) -> DataFrame:
         F.col("rules"), F.col("specimen_id"), recognition.tabular_target(F.col("qcTask"))
     )
     return (
-        rows.withColumn("evidence", evidence)
+        computed_once(rows, {"evidence": evidence})
         .withColumn("assessment", recognition.assessment(F.col("evidence"), F.col("recognition_mode")))
         .withColumn("classification", recognition.classification(F.col("assessment.outcome")))
     )
