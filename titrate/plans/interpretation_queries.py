@@ -114,13 +114,13 @@ def h11(spark, sf_dir):
     return rows.groupBy("a.canonical", F.get("a.codings", F.lit(0))["code"].alias("code")).agg(F.count("*").alias("n"))
 
 
-@query("h12_glob_match", "SELECT glob, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(['*.csv', 'run-?.{csv,tsv}', '**/x*']) AS glob, ['run-' || (o_orderkey % 20) || '.csv', 'run-' || (o_orderkey % 20) || '.tsv', 'a/b/x' || o_orderkey][o_orderkey % 3 + 1] AS path, o_orderkey FROM orders) "
-       "WHERE CASE glob WHEN '*.csv' THEN o_orderkey % 3 = 0 WHEN '**/x*' THEN o_orderkey % 3 = 2 ELSE o_orderkey % 3 < 2 AND o_orderkey % 20 < 10 END GROUP BY 1")
+@query("h12_glob_match", "SELECT pattern, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(['*.csv', 'run-?.{csv,tsv}', '**/x*']) AS pattern, ['run-' || (o_orderkey % 20) || '.csv', 'run-' || (o_orderkey % 20) || '.tsv', 'a/b/x' || o_orderkey][o_orderkey % 3 + 1] AS path, o_orderkey FROM orders) "
+       "WHERE CASE pattern WHEN '*.csv' THEN o_orderkey % 3 = 0 WHEN '**/x*' THEN o_orderkey % 3 = 2 ELSE o_orderkey % 3 < 2 AND o_orderkey % 20 < 10 END GROUP BY 1")
 def h12(spark, sf_dir):
     key = F.col("o_orderkey")
     path = F.element_at(F.array(tb.text("run-", key % 20, ".csv"), tb.text("run-", key % 20, ".tsv"), tb.text("a/b/x", key)), (key % 3 + 1).cast("int"))
     hits = F.array(*[F.when(path.rlike(text.glob_to_regex(g)) & F.rlike(path, text.glob_regex(F.lit(g))), F.lit(g)) for g in ("*.csv", "run-?.{csv,tsv}", "**/x*")])
-    return tb.table(spark, sf_dir, "orders").select(F.explode(hits).alias("glob")).filter("glob IS NOT NULL").groupBy("glob").agg(F.count("*").alias("n"))
+    return tb.table(spark, sf_dir, "orders").select(F.explode(hits).alias("pattern")).filter("pattern IS NOT NULL").groupBy("pattern").agg(F.count("*").alias("n"))
 
 
 @query("h13_truncation", "SELECT doc_id, least(length(text), 1000)::INTEGER AS error, least(length(text), 2000)::INTEGER AS response, substr(text, 1, 800) AS snippet FROM documents")

@@ -173,7 +173,7 @@ def l21(spark, sf_dir):
     return reports.success_rate(routed(spark, sf_dir)).select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "n", F.round(F.col("rate") * 10000).cast("long").alias("per_10000"))
 
 
-@query("l22_latency_p95", f"WITH {ROUTED} SELECT {_FIVE} AS window_start, protocol, CAST(round(quantile_cont(CAST(seconds AS DOUBLE), 0.95) * 1000) AS BIGINT) AS p95_millis FROM r GROUP BY 1, 2")
+@query("l22_latency_p95", f"WITH {ROUTED} SELECT {_FIVE} AS window_start, protocol, CAST(round(quantile_cont(CAST(seconds AS DOUBLE), 0.95) * 100000) AS BIGINT) AS p95_scaled FROM r GROUP BY 1, 2")
 def l22(spark, sf_dir):
     return reports.latency_p95(routed(spark, sf_dir).withColumn("seconds", F.col("seconds").cast("double")), exact=True).select(
-        F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "protocol", F.round(F.col("p95") * 1000).cast("long").alias("p95_millis"))
+        F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "protocol", F.round(F.col("p95") * 100000).cast("long").alias("p95_scaled"))
