@@ -59,7 +59,7 @@ def n03(spark, sf_dir):
     ends = tb.table(spark, sf_dir, "orders").filter("o_orderkey % 7 <> 5").select(tb.text("s", F.col("o_orderkey")).alias("session_id"), F.lit(99).alias("seq"), F.lit("EOT").alias("kind"))
     everything = rows.unionByName(ends, allowMissingColumns=True)
     target, checkpoint, _ = places(spark)
-    sessions = jobs.frame_sessions(as_stream(spark, everything, 1))
+    sessions = jobs.frame_sessions(as_stream(spark, everything, 1), None)
     finished(sessions.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     return spark.read.parquet(target)
 
@@ -78,7 +78,7 @@ SELECT '/in/' || user_id AS path, CAST(count(*) AS BIGINT) AS n, CAST(count_if(c
 def n05(spark, sf_dir):
     e = tb.table(spark, sf_dir, "events").select(tb.text("/in/", F.col("user_id")).alias("path"), (F.col("event_id") % 2).alias("size"), F.date_trunc("day", "ts").alias("mtime"), F.col("ts").alias("observed_at"))
     target, checkpoint, _ = places(spark)
-    settled = jobs.file_stability(as_stream(spark, e, 1))
+    settled = jobs.file_stability(as_stream(spark, e, 1), None)
     finished(settled.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     return spark.read.parquet(target).groupBy("path").agg(F.count("*").alias("n"), F.count_if("stable").alias("n_stable"))
 

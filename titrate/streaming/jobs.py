@@ -64,7 +64,7 @@ SESSION_STATE = "expected INT, previous STRING, text STRING, frames INT, final B
 SESSION_OUT = "session_id STRING, raw_text STRING, n_frames INT, state STRING"
 
 
-def _sessions(timeout_ms: int):
+def _sessions(timeout_ms: int | None):
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         def message(text: str, frames: int, label: str) -> pd.DataFrame:
             return pd.DataFrame({"session_id": [key[0]], "raw_text": [text], "n_frames": [frames], "state": [label]})
@@ -93,19 +93,25 @@ def _sessions(timeout_ms: int):
                 yield message(text, frames, "COMPLETE" if final else INCOMPLETE)
         else:
             state.update((expected, previous, text, frames, final))
-            state.setTimeoutDuration(timeout_ms)
+            if timeout_ms is not None:
+                state.setTimeoutDuration(timeout_ms)
 
     return fold
 
 
-def frame_sessions(frames: DataFrame, timeout_ms: int = 60_000) -> DataFrame:
+def _timeout(timeout_ms: int | None) -> str:
+    """A stream with timers never runs dry, so a run that must end by itself keeps none."""
+    return GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
+def frame_sessions(frames: DataFrame, timeout_ms: int | None = 60_000) -> DataFrame:
     """Frames -> messages. Needs session_id, seq, kind (FRAME or EOT), frame_no, text, terminator, checksum, issue.
 
     A session ends with EOT, or after the receive timeout as an incomplete transmission. What one session holds is
     bounded by the frame and message limits.
     """
     return frames.groupBy("session_id").applyInPandasWithState(
-        _sessions(timeout_ms), SESSION_OUT, SESSION_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        _sessions(timeout_ms), SESSION_OUT, SESSION_STATE, "append", _timeout(timeout_ms))
 
 
 def delivery_states(events: DataFrame, log_path: str, state_path: str, checkpoint: str, max_attempts: int = delivery.MAX_ATTEMPTS,
@@ -137,28 +143,33 @@ FILE_STATE = "size LONG, mtime LONG"
 FILE_OUT = "path STRING, observed_at TIMESTAMP, stable BOOLEAN"
 
 
-def _stability(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    noted = tuple(state.get) if state.exists else None
-    rows = pd.concat(list(batches)).sort_values("observed_at")
-    out = []
-    for row in rows.itertuples():
-        mtime, seen = row.mtime.value // 1_000_000, row.observed_at.value // 1_000_000
-        quiet = seen - mtime >= delivery.FILE_QUIET_MS
-        same = noted is not None and noted[0] == row.size and abs(mtime - noted[1]) <= delivery.FILE_DRIFT_MS
-        out.append(bool(quiet and same))
-        noted = (row.size, mtime)
-    state.update(noted)
-    state.setTimeoutDuration(24 * 3600 * 1000)
-    yield pd.DataFrame({"path": key[0], "observed_at": rows["observed_at"].to_numpy(), "stable": out})
-
-
-def file_stability(observations: DataFrame) -> DataFrame:
+def _stability(forget_ms: int | None):
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        noted = tuple(state.get) if state.exists else None
+        rows = pd.concat(list(batches)).sort_values("observed_at")
+        out = []
+        for size, mtime_at, seen_at in zip(rows["bytes"], rows["mtime"], rows["observed_at"], strict=True):
+            mtime, seen = int(mtime_at.timestamp() * 1000), int(seen_at.timestamp() * 1000)
+            quiet = seen - mtime >= delivery.FILE_QUIET_MS
+            same = noted is not None and noted[0] == size and abs(mtime - noted[1]) <= delivery.FILE_DRIFT_MS
+            out.append(bool(quiet and same))
+            noted = (int(size), mtime)
+        state.update(noted)
+        if forget_ms is not None:
+            state.setTimeoutDuration(forget_ms)
+        yield pd.DataFrame({"path": [key[0]] * len(out), "observed_at": rows["observed_at"].to_numpy(), "stable": out})
+
+    return fold
+
+
+def file_stability(observations: DataFrame, forget_ms: int | None = 24 * 3600 * 1000) -> DataFrame:
     """Whether each observation of a growing file finds it settled. Needs path, size, mtime, observed_at."""
-    return observations.groupBy("path").applyInPandasWithState(
-        _stability, FILE_OUT, FILE_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = observations.withColumnRenamed("size", "bytes")
+    return rows.groupBy("path").applyInPandasWithState(
+        _stability(forget_ms), FILE_OUT, FILE_STATE, "append", _timeout(forget_ms))
 
 
 def hand_off(deliveries: DataFrame, target: str, checkpoint: str, now, once: bool = True) -> StreamingQuery:
