@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import tempfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 
@@ -59,6 +60,11 @@ def written_table(spark: SparkSession, name: str, build):
     Its files give the optimizer real sizes, and any executor can read them again after a loss.
     """
     key = (spark.sparkContext.applicationId, name)
+    if key in _written:
+        try:
+            return spark.read.parquet(_written[key])
+        except AnalysisException:
+            del _written[key]  # the shared folder was cleared: build the table again
     if key not in _written:
         digest = hashlib.sha256(name.encode()).hexdigest()[:16]
         path = f"{checkpoint_dir(spark)}/titrate-{spark.sparkContext.applicationId}/{digest}"
