@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import sys
+import types
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +35,14 @@ def travels(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
+def per_worker(name: str, build: Callable[[], Any]) -> Any:
+    """What ``build`` gives, kept for all tasks of one Python worker: for tables that are costly to load, and memos of bounded size."""
+    kept = sys.modules.setdefault("titrate_worker", types.ModuleType("titrate_worker")).__dict__
+    if name not in kept:
+        kept[name] = build()
+    return kept[name]
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z only; other letters keep their case."""
     return F.translate(text, UPPER, LOWER)
@@ -49,3 +60,6 @@ def keep_columns(df: DataFrame, like: DataFrame) -> DataFrame:
 
 def partitions_for(count: int, each: int, least: int = 1) -> int:
     return max(least, -(-count // each))
+
+
+travels(__name__)

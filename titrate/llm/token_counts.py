@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titrate.llm.common import replacing, table, travels
+from titrate.llm.common import per_worker, replacing, table, travels
 from titrate.llm.packing import vocabulary
 from titrate.llm.registry import query
 
@@ -105,10 +105,10 @@ def pieces_of(path: str) -> tuple[list[str], list[str]]:
 
 
 def _counter(path: str, memo_words: int):
-    """Counts of one text: words, pieces, words that cannot be cut. The memo holds words of this task only."""
-    automaton = LongestMatch(*pieces_of(path))
+    """Counts of one text: words, pieces, words that cannot be cut. The memo of words starts anew when it is full."""
+    automaton = per_worker(f"automaton {path}", lambda: LongestMatch(*pieces_of(path)))
     words = re.compile(WORDS).findall
-    memo: dict[str, int] = {}
+    memo: dict[str, int] = per_worker(f"counts {path}", dict)
 
     def known(word: str) -> int:
         found = memo[word] = automaton.count(word)
