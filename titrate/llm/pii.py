@@ -18,25 +18,27 @@ from titrate.llm.registry import query
 
 _LOCAL = "A-Za-z0-9._%+-"
 _LABEL = "A-Za-z0-9-"
+# IBAN lengths by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AT": 20, "BE": 16, "BG": 22, "BR": 29, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18,
+    "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27,
+    "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "TR": 26, "UA": 29,
+}
+# Every country's own length, so that a number never takes in what follows it.
+IBAN = "(?:" + "|".join(rf"(?:{'|'.join(c for c, m in IBAN_LENGTHS.items() if m == n)})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n in sorted(set(IBAN_LENGTHS.values()))) + ")"
 # Kind, pattern, context words, score without and with them.
 KINDS = (
     ("email", rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[{_LABEL}]++(?:\.[{_LABEL}]++)++", "mail|contact|write", 0.8, 0.95),
     ("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "ip|host|server|address|login", 0.6, 0.85),
     ("card", r"[0-9](?:[\x20-]?[0-9])++", "card|visa|credit|debit|payment", 0.85, 0.98),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "tel|phone|call|mobile|fax", 0.6, 0.9),
-    ("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}", "iban|account|bank|transfer", 0.9, 0.98),
+    ("iban", IBAN, "iban|account|bank|transfer", 0.9, 0.98),
 )
 BASE = 4  # the first kinds are the contract's; the others are added
 CONTEXT_CHARS = 40
 BLOCK = 64
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 IP_PARTS = rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"
-# IBAN lengths by country.
-IBAN_LENGTHS = {
-    "AD": 24, "AE": 23, "AT": 20, "BE": 16, "BG": 22, "BR": 29, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18,
-    "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27,
-    "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "TR": 26, "UA": 29,
-}
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -90,8 +92,7 @@ def confirmed(kind: str, value: Column) -> Column:
         return F.length(_digits(value)).between(10, 15)
     if kind == "iban":
         plain = F.replace(value, F.lit(" "), F.lit(""))
-        lengths = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
-        return F.when(F.length(plain) == F.element_at(lengths, F.substring(plain, 1, 2)), mod97(plain)).otherwise(False)
+        return mod97(plain)
     return F.lit(True)
 
 
@@ -119,7 +120,7 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     own = replacing(docs, "pii").columns
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = once(docs.withColumn("__body", body), __digits=F.col("__body").rlike("[0-9]"), __at=F.instr("__body", "@") > 0)
+    rows = once(docs.withColumn("__body", body).select(*[f"`{c}`" for c in own], "__body"), __digits=F.col("__body").rlike("[0-9]"), __at=F.instr("__body", "@") > 0)
     none = F.expr("cast(array() as array<string>)")
     cut, sums, blocks = {}, {}, {}
     for kind, pattern, *_ in KINDS:
@@ -155,10 +156,9 @@ def digest(found: DataFrame) -> DataFrame:
 def _sql() -> str:
     patterns = {
         "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+",
-        "phone": r"\+[0-9][\x20().0-9-]+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]", "iban": IBAN,
     }
     digits = "regexp_replace(m, '[^0-9]', '', 'g')"
-    lengths = "map {" + ", ".join(f"'{c}': {n}" for c, n in IBAN_LENGTHS.items()) + "}"
     valid = {
         "email": "true", "ip": f"regexp_matches(m, '{IP_PARTS}')", "phone": f"length({digits}) between 10 and 15",
     }
@@ -167,8 +167,7 @@ def _sql() -> str:
                      f"else substr({digits}, length({digits}) - k, 1)::int end)) % 10 = 0")
     plain = "replace(m, ' ', '')"
     chars = f"list_transform(string_split(substr({plain}, 5) || substr({plain}, 1, 4), ''), lambda x: ascii(x))"
-    valid["iban"] = (f"coalesce(length({plain}) = {lengths}[substr(m, 1, 2)], false) and "
-                     f"list_reduce(list_prepend(0, {chars}), lambda a, c: case when c < 58 then (a * 10 + c - 48) % 97 else (a * 100 + c - 55) % 97 end) = 1")
+    valid["iban"] = (f"list_reduce(list_prepend(0, {chars}), lambda a, c: case when c < 58 then (a * 10 + c - 48) % 97 else (a * 100 + c - 55) % 97 end) = 1")
     kinds = [k for k, *_ in KINDS]
     parts = []
     for order, kind in enumerate(kinds):
