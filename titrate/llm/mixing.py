@@ -2,7 +2,8 @@
 
 Token counts are gathered into cells of (source, language, topic). Each sweep rakes the cell weights to the source, language and topic targets in
 turn: a marginal is one small aggregate that joins back to the cells. Cells are written to the shared folder after each sweep. A document is then
-kept with the probability that its cell's factor has of the largest factor, so the kept tokens meet the targets in expectation with no repeats.
+kept with a probability in proportion to its cell's factor, calibrated so that the expected sample holds ``RATE`` of the tokens; a cell that is
+asked for more than it has is kept whole and the others make up for it. Where no cell is, the kept tokens meet the targets in expectation.
 """
 
 from __future__ import annotations
@@ -14,8 +15,10 @@ from titrate.llm.common import keep_columns, replacing, table, written
 from titrate.llm.pii import once
 from titrate.llm.registry import query
 
-SWEEPS = 6
-FLATTEN = {"source": 0.1, "lang": 0.1, "topic": 0.01}  # default targets are this share uniform, the rest as observed
+SWEEPS = 4
+RATE = 0.8  # of all tokens, in the expected sample
+CALIBRATIONS = 4
+TEMPER = {"source": 0.9, "lang": 0.9, "topic": 0.95}  # default targets: observed shares to this power, so that rare values gain a little
 DIGITS = 13  # hexadecimal digits of a document's uniform number
 TOPICS = ("contact", "legal", "tabular")  # else "prose"
 DIMENSIONS = ("source", "lang", "topic")
@@ -41,11 +44,11 @@ def uniform(doc_id: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, DIGITS), 16, 10).cast("double") / float(16**DIGITS)
 
 
-def default_targets(cells: DataFrame, dimension: str, flatten: float) -> DataFrame:
-    """(value, target): observed token shares of a dimension, drawn towards the uniform by ``flatten``."""
-    sums = cells.groupBy(dimension).agg(F.sum("tokens").alias("n"))
-    total, values = sums.agg(F.sum("n"), F.count("*")).first()
-    return sums.select(F.col(dimension).alias("value"), ((1 - flatten) * F.col("n") / F.lit(total or 1) + flatten / max(1, values)).alias("target"))
+def default_targets(cells: DataFrame, dimension: str, temper: float) -> DataFrame:
+    """(value, target): observed token shares of a dimension to the power ``temper``, in proportion."""
+    sums = cells.groupBy(dimension).agg(F.pow(F.sum("tokens").cast("double"), F.lit(temper)).alias("pull"))
+    total = sums.agg(F.sum("pull")).first()[0] or 1.0
+    return sums.select(F.col(dimension).alias("value"), (F.col("pull") / total).alias("target"))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
@@ -65,7 +68,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS)
 
 
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, topic: Column | None = None, text: str = "text", doc_id: str = "doc_id",
-        sweeps: int = SWEEPS, seed: int = 7) -> DataFrame:
+        sweeps: int = SWEEPS, rate: float = RATE, seed: int = 7) -> DataFrame:
     """Every row of ``docs`` with topic, n_tokens, probability and sampled.
 
     ``targets``: for any of source, lang and topic a table (value, target); the others get ``default_targets``. Null sources and languages are a value
@@ -78,11 +81,17 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, topic: Col
     cells = written(rows.groupBy("__source", "__lang", "__topic").agg(F.sum("__tokens").alias("tokens")).where("tokens > 0").select(
         F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), "tokens"), "cells")
     wanted = {d: (targets or {}).get(d) for d in DIMENSIONS}
-    wanted = {d: t if t is not None else written(default_targets(cells, d, FLATTEN[d]), f"target-{d}") for d, t in wanted.items()}
-    fitted = rake(cells, wanted, sweeps).withColumn("factor", F.col("weight") / F.col("tokens"))
-    most = fitted.agg(F.max("factor")).first()[0] or 1.0
+    wanted = {d: t if t is not None else default_targets(cells, d, TEMPER[d]) for d, t in wanted.items()}
+    fitted = rake(cells, wanted, sweeps)
+    tokens, weight = fitted.agg(F.sum("tokens"), F.sum("weight")).first()
+    fitted = fitted.withColumn("factor", F.col("weight") / F.col("tokens") * ((tokens or 1) / (weight or 1.0)))
+    scale = rate
+    for _ in range(CALIBRATIONS):  # two sums over the cells each
+        full = F.col("factor") * scale >= 1
+        whole, rest = fitted.agg(F.sum(F.when(full, F.col("tokens"))), F.sum(F.when(~full, F.col("factor") * F.col("tokens")))).first()
+        scale = max(0.0, rate * (tokens or 0) - (whole or 0)) / rest if rest else scale
     rates = fitted.select(F.col("source").alias("__source"), F.col("lang").alias("__lang"), F.col("topic").alias("__topic"),
-                          (F.col("factor") / most).alias("__rate"))
+                          F.least(F.col("factor") * scale, F.lit(1.0)).alias("__rate"))
     results = {"topic": F.col("__topic"), "n_tokens": F.col("__tokens"), "probability": F.round(F.coalesce("__rate", F.lit(0.0)), 9)}
     results["sampled"] = uniform(F.col(doc_id), seed) < results["probability"]
     own = [f"`{c}`" for c in replacing(docs, *results).columns]
@@ -93,12 +102,16 @@ def sql(docs: str = "documents", sweeps: int = SWEEPS, seed: int = 7) -> str:
     """The same for DuckDB, over a table or query of documents."""
     steps, last = [], "c0"
     for d in DIMENSIONS:
-        steps.append(f"t_{d} as (select {d}, {1 - FLATTEN[d]} * sum(tokens) / (select sum(tokens) from c0) + {FLATTEN[d]} / (select count(distinct {d}) from c0) as target from c0 group by {d})")
+        steps.append(f"t_{d} as (select {d}, pow(sum(tokens)::double, {TEMPER[d]}) / sum(pow(sum(tokens)::double, {TEMPER[d]})) over () as target from c0 group by {d})")
     for sweep in range(sweeps):
         for d in DIMENSIONS:
             name = f"c_{sweep}_{d}"
             steps.append(f"{name} as materialized (select source, lang, topic, tokens, weight * target / sum(weight) over (partition by {d}) as weight from {last} join t_{d} using ({d}))")
             last = name
+    steps.append(f"f as materialized (select source, lang, topic, tokens, weight / tokens * (sum(tokens) over () / sum(weight) over ()) as factor from {last})")
+    steps.append(f"s0 as (select {RATE}::double as scale)")
+    for k in range(CALIBRATIONS):
+        steps.append(f"s{k + 1} as materialized (select greatest(0, {RATE} * sum(tokens) - coalesce(sum(tokens) filter (factor * scale >= 1), 0)) / sum(factor * tokens) filter (factor * scale < 1) as scale from f, s{k})")
     return f"""
 with d as (select doc_id, coalesce(source, '') as source, coalesce(lang, '') as lang, coalesce(text, '') as t from {docs}),
 r as (select doc_id, source, lang, len(regexp_extract_all(t, '[^ \\t-\\r]+')) as n_tokens,
@@ -106,7 +119,7 @@ r as (select doc_id, source, lang, len(regexp_extract_all(t, '[^ \\t-\\r]+')) as
                   when contains(t, ' | ') then 'tabular' else 'prose' end as topic from d),
 c0 as materialized (select source, lang, topic, sum(n_tokens)::bigint as tokens, sum(n_tokens)::double as weight from r group by all having sum(n_tokens) > 0),
 {", ".join(steps)},
-p as (select source, lang, topic, weight / tokens / max(weight / tokens) over () as rate from {last}),
+p as (select source, lang, topic, least(factor * scale, 1) as rate from f, s{CALIBRATIONS}),
 o as (select doc_id, source, lang, topic, n_tokens, round(coalesce(rate, 0), 9) as probability from r left join p using (source, lang, topic))
 select *, ('0x' || substr(md5('{seed}:' || coalesce(doc_id::varchar, '')), 1, {DIGITS}))::bigint / {float(16**DIGITS)!r} < probability as sampled from o
 """
