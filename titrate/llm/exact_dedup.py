@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titrate.llm.common import keep_columns, partitions_for, replacing, table, travels, written
+from titrate.llm.common import keep_columns, partitions_for, replacing, settled, table, travels, written
 from titrate.llm.registry import query
 
 BUCKET_BYTES = 48 << 20  # content bytes that one table holds
@@ -193,7 +193,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", buc
     smaller than any other, and of repeated rows with one id a single row stays (the last one read). An empty table gives an empty table.
     Input columns named like a result column are replaced.
     """
-    base = docs.withColumn("__uid", F.monotonically_increasing_id())
+    base = settled(docs).withColumn("__uid", F.monotonically_increasing_id())
     body = F.coalesce(F.col(text), F.lit(""))
     records = base.select(body.alias("content"), F.struct(F.col(doc_id).cast("long").alias("id"), F.col("__uid").alias("uid")).alias("top"),
                           F.lit(1).cast("long").alias("copies"))

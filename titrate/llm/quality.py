@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titrate.llm.common import keep_columns, replacing, table, written
+from titrate.llm.common import keep_columns, replacing, settled, table, written
 from titrate.llm.pii import once
 from titrate.llm.registry import query
 
@@ -24,7 +24,7 @@ ROUNDS = 3
 SURE_GOOD, SURE_BAD = 0.99, 0.01  # calibrated probabilities from which a view labels for the other
 THRESHOLD = 0.5
 BINS = 16  # bins of a text feature
-SOURCE_BINS, LENGTH_BINS, LANG_BINS = 1024, 24, 64
+SOURCE_BINS, LENGTH_BINS, LANG_BINS = 512, 24, 64
 CALIBRATION_BINS = 60  # of one unit of log odds each, around zero
 HELD_OUT = 4  # one labelled document in so many calibrates
 SMOOTHING = 1.0
@@ -79,10 +79,14 @@ FEATURES = {"__text": len(TEXT_FEATURES), "__meta": 3}
 GROUPS = {"__text": [BINS] * len(TEXT_FEATURES), "__meta": [SOURCE_BINS, LANG_BINS, LENGTH_BINS]}
 
 
+def constants(values: Sequence[float]) -> Column:
+    """A constant array, folded into one literal however long it is."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+
+
 def log_odds(view: str, weights: Sequence[float]) -> Column:
-    """Sum of a view's weights at its bins; the weights are a constant array of fixed size, the prior last."""
-    held = F.array(*[F.lit(float(w)) for w in weights])
-    total = F.element_at(held, len(weights))
+    """Sum of a view's weights at its bins; the prior's is the last."""
+    held, total = constants(weights), F.lit(float(weights[-1]))
     for i in range(FEATURES[view]):
         total = total + F.element_at(held, F.element_at(F.col(view), i + 1) + 1)
     return total
@@ -92,35 +96,71 @@ def calibration_bin(score: Column) -> Column:
     return F.least(F.lit(CALIBRATION_BINS - 1), F.greatest(F.lit(0), F.floor(score) + CALIBRATION_BINS // 2)).cast("int")
 
 
-def fit(training: DataFrame, view: str, label: str) -> list[float]:
-    """Naive Bayes weights of a view from rows with ``label`` (1, 0): at most two counts for each bin come to the driver."""
-    counts = training.select(F.explode(view).alias("bin"), F.col(label).alias("y")).groupBy("bin", "y").count().collect()
-    seen = {(r["bin"], r["y"]): r["count"] for r in counts}
-    whole = [sum(n for (_, y), n in seen.items() if y == k) / FEATURES[view] for k in (0, 1)]
-    weights, at = [], 0
-    for size in GROUPS[view]:
-        for b in range(at, at + size):
-            rates = [(seen.get((b, k), 0) + SMOOTHING) / (whole[k] + SMOOTHING * min(size, BINS)) for k in (0, 1)]
-            weights.append(math.log(rates[1] / rates[0]))
-        at += size
-    return [*weights, math.log((whole[1] + SMOOTHING) / (whole[0] + SMOOTHING))]
+def fit(training: DataFrame) -> dict[str, list[float]]:
+    """Naive Bayes weights of both views from rows with a label for each (1, 0 or null: not counted), in one pass.
+
+    At most two counts for each bin of a view come to the driver.
+    """
+    taught = [F.transform(F.when(F.col(label).isNotNull(), F.col(view)), _tagged(view, label)) for view, label in LABELS.items()]
+    rows = training.select(F.explode(F.concat(*[F.coalesce(t, F.expr("cast(array() as array<struct<view:string,bin:int,y:int>>)")) for t in taught])).alias("t"))
+    counts = rows.groupBy("t.view", "t.bin", "t.y").count().collect()
+    models = {}
+    for view in SIZES:
+        seen = {(r["bin"], r["y"]): r["count"] for r in counts if r["view"] == view}
+        whole = [sum(n for (_, y), n in seen.items() if y == k) / FEATURES[view] for k in (0, 1)]
+        weights, at = [], 0
+        for size in GROUPS[view]:
+            for b in range(at, at + size):
+                rates = [(seen.get((b, k), 0) + SMOOTHING) / (whole[k] + SMOOTHING * min(size, BINS)) for k in (0, 1)]
+                weights.append(math.log(rates[1] / rates[0]))
+            at += size
+        models[view] = [*weights, math.log((whole[1] + SMOOTHING) / (whole[0] + SMOOTHING))]
+    return models
 
 
-def monotone(good: Sequence[float], total: Sequence[float], prior: float) -> list[float]:
-    """Rates that never fall from bin to bin (pool adjacent violators), drawn to the prior by one pseudo-document a bin."""
-    blocks: list[list[float]] = []
-    for g, n in zip(good, total, strict=True):
-        blocks.append([g + prior, n + 1, 1])
-        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] > blocks[-1][0] * blocks[-2][1]:
-            g2, n2, k2 = blocks.pop()
-            blocks[-1] = [blocks[-1][0] + g2, blocks[-1][1] + n2, blocks[-1][2] + k2]
-    return [g / n for g, n, k in blocks for _ in range(int(k))]
+LABELS = {"__text": "__for_text", "__meta": "__for_meta"}
+
 
+def _tagged(view: str, label: str):
+    def tagged(b: Column) -> Column:
+        return F.struct(F.lit(view).alias("view"), b.cast("int").alias("bin"), F.col(label).cast("int").alias("y"))
 
-def calibrate(held_out: DataFrame, score: Column, prior: float) -> list[float]:
-    counts = held_out.groupBy(calibration_bin(score).alias("bin")).agg(F.sum("__y").alias("good"), F.count("*").alias("n")).collect()
-    by = {r["bin"]: (r["good"], r["n"]) for r in counts}
-    return monotone([by.get(b, (0, 0))[0] for b in range(CALIBRATION_BINS)], [by.get(b, (0, 0))[1] for b in range(CALIBRATION_BINS)], prior)
+    return tagged
+
+
+def monotone(good: Sequence[float], total: Sequence[float], prior: float) -> list[float]:
+    """Rates that never fall from bin to bin (pool adjacent violators), each pool drawn to the prior by one pseudo-document.
+
+    A bin without documents takes the mean of the pools around it, or the rate of the one beside it.
+    """
+    pools: list[list[float]] = []  # good, documents, first bin, last bin
+    for b, (g, n) in enumerate(zip(good, total, strict=True)):
+        if not n:
+            continue
+        pools.append([g, n, b, b])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+            g2, n2, _, last = pools.pop()
+            pools[-1] = [pools[-1][0] + g2, pools[-1][1] + n2, pools[-1][2], last]
+    if not pools:
+        return [prior] * len(good)
+    rates = [(g + prior) / (n + 1) for g, n, *_ in pools]
+    out = []
+    for b in range(len(good)):
+        below = [r for r, p in zip(rates, pools, strict=True) if p[2] <= b]
+        above = [r for r, p in zip(rates, pools, strict=True) if p[3] >= b]
+        out.append(above[0] if not below else below[-1] if not above else (below[-1] + above[0]) / 2)
+    return out
+
+
+def calibrate(held_out: DataFrame, weights: dict[str, list[float]], prior: float) -> dict[str, list[float]]:
+    """Calibration of both views in one pass: two numbers for each of ``CALIBRATION_BINS`` bins come to the driver."""
+    scored = F.array(*[F.struct(F.lit(v).alias("view"), calibration_bin(log_odds(v, weights[v])).alias("bin")) for v in SIZES])
+    counts = held_out.select("__y", F.explode(scored).alias("s")).groupBy("s.view", "s.bin").agg(F.sum("__y").alias("good"), F.count("*").alias("n")).collect()
+    curves = {}
+    for view in SIZES:
+        by = {r["bin"]: (r["good"], r["n"]) for r in counts if r["view"] == view}
+        curves[view] = monotone(*([by.get(b, (0, 0))[k] for b in range(CALIBRATION_BINS)] for k in (0, 1)), prior)
+    return curves
 
 
 def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, label: str) -> DataFrame:
@@ -132,27 +172,25 @@ def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, label: str) -> Dat
 
 def co_train(rows: DataFrame, rounds: int = ROUNDS) -> tuple[dict[str, list[float]], dict[str, list[float]], float]:
     """Weights and calibrations of both views, and the prior, from ``rows`` (__text, __meta, __y, __fold)."""
-    fitting = rows.where("__y is not null and __fold > 0").withColumn("__label", F.col("__y"))
     held = rows.where("__y is not null and __fold = 0")
-    unlabelled = rows.where("__y is null")
+    teaching = rows.where("__y is null or __fold > 0")
     good, n = rows.where("__y is not null").agg(F.sum("__y"), F.count("*")).first()
     prior = ((good or 0) + 1) / (n + 2)
-    weights = {v: fit(fitting, v, "__label") for v in SIZES}
-    curves = {v: calibrate(held, log_odds(v, weights[v]), prior) for v in SIZES}
+    weights = fit(teaching.where("__y is not null").withColumns({label: F.col("__y") for label in LABELS.values()}))
+    curves = calibrate(held, weights, prior)
     for _ in range(rounds if n else 0):
+        # Each view learns from the labelled documents and from those the other view is sure of.
         taught = {}
         for view, teacher in (("__text", "__meta"), ("__meta", "__text")):
-            sure = probability(teacher, weights[teacher], curves[teacher])
-            pseudo = unlabelled.withColumn("__p", sure).where((F.col("__p") >= SURE_GOOD) | (F.col("__p") <= SURE_BAD)).withColumn(
-                "__label", (F.col("__p") >= SURE_GOOD).cast("int"))
-            taught[view] = fit(fitting.select(view, "__label").unionByName(pseudo.select(view, "__label")), view, "__label")
-        weights = taught
-        curves = {v: calibrate(held, log_odds(v, weights[v]), prior) for v in SIZES}
+            p = probability(teacher, weights[teacher], curves[teacher])
+            taught[LABELS[view]] = F.coalesce("__y", F.when(p >= SURE_GOOD, 1).when(p <= SURE_BAD, 0))
+        weights = fit(teaching.withColumns(taught))
+        curves = calibrate(held, weights, prior)
     return weights, curves, prior
 
 
 def probability(view: str, weights: Sequence[float], curve: Sequence[float]) -> Column:
-    return F.element_at(F.array(*[F.lit(float(x)) for x in curve]), calibration_bin(log_odds(view, weights)) + 1)
+    return F.element_at(constants(curve), calibration_bin(log_odds(view, weights)) + 1)
 
 
 def classify(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", rounds: int = ROUNDS,
@@ -176,8 +214,10 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
 
 def score_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``classify`` with the documents' own columns beside the scores."""
-    own = [f"`{c}`" for c in replacing(docs, "p_text", "p_meta", "score", "keep").columns]
+    docs = settled(docs)
     scored = classify(docs, labels, **options)
+    docs = replacing(docs, "p_text", "p_meta", "score", "keep")
+    own = [f"`{c}`" for c in docs.columns]
     return docs.withColumn("__uid", F.monotonically_increasing_id()).join(scored, "__uid").select(*own, "p_text", "p_meta", "score", "keep")
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titrate.llm.common import ascii_lower, replacing, table
+from titrate.llm.common import ascii_lower, replacing, settled, table
 from titrate.llm.registry import query
 
 PREFIX_HEX = 8  # four bytes of the digest
@@ -49,7 +49,7 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     # Only sizes leave the rule table: at most as many numbers as a host has labels, or a path characters.
     labels = sorted(r[0] for r in known.select(F.size(F.split("r_host", r"\.", -1))).distinct().collect())
     sizes = sorted(r[0] for r in known.select(F.length("r_path")).distinct().collect())
-    rows = pages.withColumn("__uid", F.monotonically_increasing_id()).withColumn("__host", host_of(F.col(url))).withColumn("__path", path_of(F.col(url)))
+    rows = settled(pages).withColumn("__uid", F.monotonically_increasing_id()).withColumn("__host", host_of(F.col(url))).withColumn("__path", path_of(F.col(url)))
     hosts = F.array_distinct(F.array(*[F.substring_index("__host", ".", -n) for n in labels])) if labels else F.expr("array('')")
     prefixes = F.filter(F.array(*[F.when(F.length("__path") >= n, F.substring("__path", 1, n)) for n in sizes]), lambda p: p.isNotNull()) if sizes else F.expr(
         "cast(array() as array<string>)")
