@@ -16,13 +16,14 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titrate.llm.common import ascii_lower, table
+from titrate.llm.common import ascii_lower, table, written
 from titrate.llm.pii import once
 from titrate.llm.registry import query
 
 SHINGLE_WORDS = 5
 CONTAINMENT = 0.8
 MISS = 1e-6
+BROADCAST_BYTES = 32 << 20  # a template side beyond this is joined by a shuffle
 NOT_WORD = r"[^\p{L}\p{N}]+"
 # Opening notices of common licenses.
 TEMPLATES = (
@@ -83,13 +84,16 @@ def scan(docs: DataFrame, templates: DataFrame, text: str = "text", doc_id: str
         F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.size("t_words") - SHINGLE_WORDS + 1, F.lit(1))))).cast("int").alias("size_class"))
     classes: dict[int, int] = {}
     needles: set[str] = set()
+    template_bytes = 0
     for row in known.select("size_class", "n", "t_words").collect():
-        classes[row["size_class"]] = max(classes.get(row["size_class"], 1), bands_for(row["n"], row["size_class"], share))
+        bands = bands_for(row["n"], row["size_class"], share)
+        classes[row["size_class"]] = max(classes.get(row["size_class"], 1), bands)
+        template_bytes += bands * (8 * row["n"] + 100)
         words = row["t_words"]
         runs = [words[i : i + SHINGLE_WORDS] for i in range(max(1, len(words) - SHINGLE_WORDS + 1))]
         distinct = list(dict.fromkeys(tuple(r) for r in runs))
         may_miss = row["n"] - math.ceil(share * row["n"] - 1e-9)
-        needles.update(max(r, key=len) for r in distinct[: may_miss + 1])
+        needles.update(max(r, key=len).lower() for r in distinct[: may_miss + 1])
     spark = docs.sparkSession
     out = "uid bigint, doc_id bigint, template_id string, containment double, first_word bigint"
     if not classes:
@@ -101,19 +105,22 @@ def scan(docs: DataFrame, templates: DataFrame, text: str = "text", doc_id: str
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("body"))
     rows = once(rows.where(some), words=words_of(F.col("body"))).drop("body")
     rows = once(rows, shingles=shingles_of(F.col("words"))).drop("words").where(F.size("shingles") > 0)
-    found = None
-    for size_class, bands in sorted(classes.items()):
-        starts = F.sequence(F.lit(0), F.size("shingles") - 1, F.lit(size_class))
-        windows = rows.select("uid", "doc_id", "shingles", F.explode(starts).alias("first_word")).select(
-            "uid", "doc_id", F.col("first_word").cast("long").alias("first_word"),
-            F.slice("shingles", F.col("first_word") + 1, F.lit(2 * size_class)).alias("window"))
-        windows = once(windows, signature=_signature(F.col("window"), F.lit(bands)))
-        own = once(known.where(F.col("size_class") == size_class), t_signature=_signature(F.col("t_shingles"), F.lit(bands))).select(
-            "template_id", "t_shingles", "n", F.posexplode("t_signature").alias("band", "least"))
-        hits = windows.select("*", F.posexplode("signature").alias("band", "least")).drop("signature").join(own, ["band", "least"])
-        part = F.size(F.array_intersect("window", "t_shingles")) / F.col("n")
-        checked = hits.withColumn("part", part).where(F.col("part") >= share - 1e-9)
-        found = checked if found is None else found.unionByName(checked)
+    # The few texts that may hold a template, cut once for all classes.
+    rows = written(rows, "shingles")
+    kinds = F.array(*[F.struct(F.lit(c).alias("size_class"), F.lit(b).alias("bands")) for c, b in sorted(classes.items())])
+    windows = rows.select("uid", "doc_id", "shingles", F.inline(kinds)).select(
+        "*", F.explode(F.sequence(F.lit(0), F.size("shingles") - 1, F.col("size_class"))).alias("at")).select(
+        "uid", "doc_id", "size_class", "bands", F.col("at").cast("long").alias("first_word"),
+        F.slice("shingles", F.col("at") + 1, F.col("size_class") * 2).alias("window"))
+    windows = once(windows, signature=_signature(F.col("window"), F.col("bands")))
+    bands_of = F.create_map(*[F.lit(x) for pair in classes.items() for x in pair])
+    own = once(known, t_signature=_signature(F.col("t_shingles"), F.element_at(bands_of, F.col("size_class")))).select(
+        "template_id", "t_shingles", "n", "size_class", F.posexplode("t_signature").alias("band", "least"))
+    if template_bytes <= BROADCAST_BYTES:
+        own = F.broadcast(own)
+    hits = windows.select("*", F.posexplode("signature").alias("band", "least")).drop("signature").join(own, ["size_class", "band", "least"])
+    part = F.size(F.array_intersect("window", "t_shingles")) / F.col("n")
+    found = hits.withColumn("part", part).where(F.col("part") >= share - 1e-9)
     best = F.min(F.struct((-F.col("part")).alias("less"), "first_word")).alias("best")
     return found.groupBy("uid", "doc_id", "template_id").agg(best).select(
         "uid", "doc_id", "template_id", F.round(-F.col("best.less"), 6).alias("containment"), F.col("best.first_word").alias("first_word"))
