@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from titrate.functions import codes, identity, net, text, times
@@ -47,9 +48,17 @@ def test_identities_match_hashlib(spark):
     assert column(spark, [" "], lambda v: identity.delivery_id(F.lit("HL7"), F.lit("c1"), F.lit("ab"), v)) == [None]
 
 
-def test_globs(spark):
-    import re
+@pytest.mark.parametrize("glob,yes,no", [
+    ("*.{csv,tsv}", "a.tsv", "b/a.tsv"), ("run-?.txt", "run-1.txt", "run-12.txt"), ("[!a]*", "bcd", "abc"), ("run[0-9].csv", "run7.csv", "runx.csv"),
+    ("a,b.{csv,tsv}", "a,b.tsv", "a.tsv"), ("a,b.csv", "a,b.csv", "b.csv"), ("**/x[^a].csv", "p/q/x^.csv", "p/q/xb.csv"), ("a(b)+.txt", "a(b)+.txt", "abb.txt"),
+    (r"q\*.csv", "q*.csv", "qq.csv"), ("{a,{b,c}}d", "cd", "c"), ("[[]x", "[x", "x"), ("open{a", "opena)", "open{a"), ("}.csv", "}.csv", ".csv"),
+])
+def test_globs(spark, glob, yes, no):
+    found = spark.createDataFrame([(glob, yes, no)], "g string, y string, n string").select(
+        F.rlike("y", text.glob_regex(F.col("g"))), F.rlike("n", text.glob_regex(F.col("g")))).first()
+    assert tuple(found) == (glob != "open{a", False)
 
-    for glob, yes, no in (("*.{csv,tsv}", "a.tsv", "b/a.tsv"), ("run-?.txt", "run-1.txt", "run-12.txt"), ("[!a]*", "bcd", "abc")):
-        pattern = text.glob_to_regex(glob).replace(r"\z", r"\Z")
-        assert re.search(pattern, yes) and not re.search(pattern, no)
+
+def test_a_broken_pattern_finds_nothing(spark):
+    got = column(spark, ["Q[(", r"\p{L}+", "", None], lambda v: F.coalesce(text.safe_pattern(v), F.lit("~")))
+    assert got == [text.NEVER, r"\p{L}+", "", "~"]

@@ -1 +1,8 @@
-"""Laboratory result normalization expressed as Spark DataFrame jobs."""
+"""Laboratory result normalization on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to executors by value: workers need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

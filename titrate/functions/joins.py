@@ -1,25 +1,15 @@
-"""Joins to dimensions whose size is measured, never assumed."""
+"""Joins to dimensions."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-MAX_BROADCAST_ROWS = 10_000
 
+def join_dimension(facts: DataFrame, dimension: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Facts with the dimension row of their key; each key holds one.
 
-def is_small(dimension: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """Counts at most ``max_rows + 1`` rows of the dimension (all columns pruned away)."""
-    return dimension.limit(max_rows + 1).count() <= max_rows
-
-
-def join_dimension(
-    facts: DataFrame, dimension: DataFrame, keys: list[str], how: str = "inner", max_rows: int = MAX_BROADCAST_ROWS
-) -> DataFrame:
-    """Broadcast the dimension when its measured size allows; beyond that a shuffled join.
-
-    In the shuffled form adaptive execution splits the partitions of a hot key (one connection with a third of all
-    messages), because each key holds a single dimension row.
+    No hint and no driver-side count: Spark broadcasts the dimension when its size in bytes allows (from file sizes when the plan is made, from
+    measured sizes when it runs). Beyond that the join shuffles, and adaptive execution splits the partitions of a hot key (one connection with a
+    third of all messages).
     """
-    side = F.broadcast(dimension) if is_small(dimension, max_rows) else dimension
-    return facts.join(side, keys, how)
+    return facts.join(dimension, keys, how)

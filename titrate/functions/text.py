@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,33 +102,40 @@ def wildcard_regex(pattern: Column) -> Column:
     return F.concat(F.lit("(?is)\\A"), quoted, F.lit("\\z"))
 
 
-def glob_to_regex(glob: str) -> str:
-    """File-name glob as an anchored regular expression: ``*`` and ``?`` stay inside one path segment."""
-    simple = {"*": "[^/]*", "?": "[^/]", "{": "(?:", "}": ")"}
-    out, depth = [], 0
-    for token in re.findall(r"\*\*|\\.|\[[^\]]*\]|.", glob, flags=re.S):
-        if token == "**":
-            out.append(".*")
-        elif token.startswith("[") and len(token) > 2:
-            body = token[1:-1].replace("\\", "\\\\")
-            out.append("(?!/)[" + ("^" + body[1:] if body[0] == "!" else body) + "]")
-        elif token == "," and depth:
-            out.append("|")
-        elif token in simple:
-            depth += (token == "{") - (token == "}")
-            out.append(simple[token])
-        else:
-            out.append(re.escape(token[-1]))
-    return r"\A(?:" + "".join(out) + r")\z"
+NEVER = "(?!)"  # a pattern that finds nothing
+
+
+def compiles(pattern: Column) -> Column:
+    """Whether the text is a regular expression; of a dimension's rows, never of each message."""
+    return F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), pattern).isNotNull()
+
+
+def safe_pattern(pattern: Column) -> Column:
+    """The pattern, or one that finds nothing where it does not compile; blank stays as it is."""
+    return F.when(filled(pattern) & ~compiles(pattern), F.lit(NEVER)).otherwise(pattern)
 
 
 def glob_regex(glob: Column) -> Column:
-    """Column form of :func:`glob_to_regex` for globs built from ``*``, ``?`` and ``{a,b}``."""
-    braces = glob.contains("{")
-    text = F.regexp_replace(glob, r"([.+^$()|\\\[\]])", r"\\$1")
-    text = F.replace(text, F.lit("**"), F.lit("\u0001"))
-    text = F.replace(text, F.lit("*"), F.lit("[^/]*"))
-    text = F.replace(text, F.lit("?"), F.lit("[^/]"))
-    text = F.replace(text, F.lit("\u0001"), F.lit(".*"))
-    grouped = F.replace(F.replace(F.replace(text, F.lit("{"), F.lit("(?:")), F.lit("}"), F.lit(")")), F.lit(","), F.lit("|"))
-    return F.concat(F.lit("\\A"), F.when(braces, grouped).otherwise(text), F.lit("\\z"))
+    """A file-name glob as an anchored regular expression: ``*`` and ``?`` stay inside one path segment, ``**`` does not, ``[a-c]`` and ``[!a]`` are
+    classes, ``{a,b}`` are alternatives (a comma elsewhere is a comma), ``\\`` quotes. A glob that gives no valid expression finds nothing.
+    """
+    tokens = F.regexp_extract_all(glob, F.lit(r"(?s)\*\*|\\.|\[[^\]]+\]|."), F.lit(0))
+
+    def of_token(token: Column, depth: Column) -> Column:
+        body = F.substring(token, F.lit(2), F.length(token) - 2)
+        negated = body.startswith("!")
+        inner = F.regexp_replace(F.when(negated, F.substring(body, F.lit(2), F.length(body))).otherwise(body), r"([\\\[&^])", r"\\$1")
+        last = F.right(token, F.lit(1))
+        literal = F.when(last.rlike(r"[\\^$.|?*+()\[\]{}]"), F.concat(F.lit("\\"), last)).otherwise(last)
+        return (
+            F.when(token == "**", ".*").when(token == "*", "[^/]*").when(token == "?", "[^/]")
+            .when((F.length(token) > 2) & token.startswith("["), F.concat(F.when(negated, "(?!/)[^").otherwise("(?!/)["), inner, F.lit("]")))
+            .when(token == "{", "(?:").when((token == "}") & (depth > 0), ")").when((token == ",") & (depth > 0), "|").otherwise(literal)
+        )
+
+    def step(acc: Column, token: Column) -> Column:
+        move = F.when(token == "{", 1).when((token == "}") & (acc["depth"] > 0), -1).otherwise(0)
+        return F.struct(F.concat(acc["out"], of_token(token, acc["depth"])).alias("out"), (acc["depth"] + move).alias("depth"))
+
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("depth"))
+    return F.aggregate(tokens, start, step, lambda acc: safe_pattern(F.concat(F.lit("\\A(?:"), acc["out"], F.lit(")\\z"))))

@@ -19,9 +19,13 @@ FIELD, COMPONENT = "|", "^"
 UNKNOWN_ACCESSION = "ASTM-UNKNOWN"
 
 
-def _boundary(record_type: str) -> str:
-    """Cut before a record of the type: text up to '|', or the first letter of a line without one."""
-    return rf"\r(?={record_type}(?:\||[^|\r]*(?:\r|\z)))"
+_BARE = r"\r([ROP])[^|\r]*(?=\r|\z)"
+
+
+def _text(raw: Column) -> Column:
+    """The message with every line behind one CR. A bare R, O or P line (no field separator) keeps its first letter only, which is all it says."""
+    text = F.concat(F.lit("\r"), F.replace(raw, F.lit("\n"), F.lit("\r")))
+    return F.when(text.rlike(_BARE), F.regexp_replace(text, _BARE, "\r$1|")).otherwise(text)
 
 
 def lines(raw: Column) -> Column:
@@ -61,7 +65,8 @@ def accession(order_line: Column) -> Column:
 
 
 def _cut(text: Column, record: str) -> Column:
-    return F.split(text, _boundary(record))
+    """Cut before each record of the type. LF occurs nowhere else in the text, so that the cut needs no regular expression."""
+    return F.split(F.replace(text, F.lit(f"\r{record}{FIELD}"), F.lit(f"\n{record}{FIELD}")), "\n")
 
 
 def _head(block: Column) -> Column:
@@ -74,9 +79,8 @@ def _last_head(blocks: Column) -> Column:
 
 def sectioned(messages: DataFrame, *carry: str) -> DataFrame:
     """Message rows with their text cut at R, O and P records (still one row per message)."""
-    text = F.concat(F.lit("\r"), F.array_join(lines(F.col("raw_text")), "\r"))
     return (
-        messages.select("message_id", *carry, text.alias("_text"))
+        computed_once(messages.select("message_id", *carry, "raw_text"), {"_text": _text(F.col("raw_text"))})
         .select(
             "message_id",
             *carry,

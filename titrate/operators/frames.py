@@ -6,7 +6,7 @@ frames are folded as one ordered array per session; frames beyond the limit mark
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let
@@ -58,9 +58,12 @@ def frame_issue(version: str = "LIS01_A", exact_case: bool = False) -> Column:
 def sequenced(frames: DataFrame, issue: Column) -> DataFrame:
     """Per session, the accepted frames in order. A refused frame does not move the expected number; an exact
     repeat of the previous frame is accepted and ignored."""
-    checked = frames.withColumn("_bad", issue.isNotNull())
+    # One frame more than the limit is kept, so that a longer session can be told; the others never reach its array.
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("seq"))
+    checked = frames.withColumn("_bad", issue.isNotNull()).withColumn("_place", place).filter(F.col("_place") <= MAX_FRAMES + 1)
     frame = F.struct("seq", "frame_no", "text", "terminator", "checksum", "_bad")
     sessions = checked.groupBy("session_id").agg(F.array_sort(F.collect_list(frame)).alias("_f"))
+    sessions = sessions.withColumn("over_limit", F.size("_f") > MAX_FRAMES).withColumn("_f", F.slice("_f", 1, MAX_FRAMES))
     start = F.struct(
         F.lit(1).alias("expected"), F.lit(None).cast("string").alias("previous"), F.lit(0).alias("refused"),
         F.lit(0).alias("repeated"), F.array().cast("array<int>").alias("kept"),
@@ -82,7 +85,7 @@ def sequenced(frames: DataFrame, issue: Column) -> DataFrame:
     folded = sessions.withColumn("_s", F.aggregate("_f", start, step))
     return folded.select(
         "session_id", F.filter("_f", lambda f: F.array_contains(F.col("_s.kept"), f["seq"])).alias("accepted"),
-        F.col("_s.refused").alias("refused"), F.col("_s.repeated").alias("repeated"),
+        F.col("_s.refused").alias("refused"), F.col("_s.repeated").alias("repeated"), "over_limit",
     )
 
 
@@ -91,7 +94,7 @@ def assembled(sessions: DataFrame, ended: DataFrame) -> DataFrame:
     end of transmission; otherwise INCOMPLETE_TRANSMISSION (held, never retried). ``ended``: (session_id)."""
     closed = ended.select("session_id").distinct().withColumn("_eot", F.lit(True))
     last = F.try_element_at("accepted", F.lit(-1))
-    whole = F.col("_eot").isNotNull() & F.coalesce(last["terminator"] == "ETX", F.lit(False))
+    whole = F.col("_eot").isNotNull() & F.coalesce(last["terminator"] == "ETX", F.lit(False)) & ~F.col("over_limit")
     rows = sessions.join(closed, "session_id", "left")
     return rows.select(
         "session_id", F.array_join(F.transform("accepted", lambda f: f["text"]), "").alias("raw_text"),

@@ -1,8 +1,8 @@
 """HL7 v2 segments -> results, without a shuffle.
 
 As with ASTM, each message is one row and its text is cut at segment boundaries, so "the last whole segment of
-each type before this observation" is known before anything is exploded. Only the segment types named in
-``CONTEXT`` (or passed in) are carried to the observations.
+each type before this observation" is known before anything is exploded. Only the segment types passed in are
+carried to the observations; ``named_segments`` gives those that some reading asks for.
 """
 
 from __future__ import annotations
@@ -70,9 +70,9 @@ def patient_groups(messages: DataFrame, *carry: str) -> DataFrame:
     )
 
 
-def _starts(segment: str | Column, fs: Column) -> Column:
-    seg = F.lit(segment) if isinstance(segment, str) else segment
-    return F.concat(F.lit("\r(?="), seg, literal_pattern(fs), F.lit(")"))
+def _cut(text: Column, segment: str, fs: Column) -> Column:
+    """Cut before each segment of the type. Groups hold no LF, so that the cut needs no regular expression."""
+    return F.split(F.replace(text, F.concat(F.lit(f"\r{segment}"), fs), F.concat(F.lit(f"\n{segment}"), fs)), "\n")
 
 
 def _head(block: Column) -> Column:
@@ -112,7 +112,7 @@ def sectioned(groups: DataFrame, *carry: str) -> DataFrame:
 
 
 def _last_line(text: Column, segment: str, fs: Column) -> Column:
-    cut = F.split(text, _starts(segment, fs))
+    cut = _cut(text, segment, fs)
     return F.when(F.size(cut) > 1, _head(F.get(cut, F.size(cut) - 1)))
 
 
@@ -126,6 +126,18 @@ def headers(groups: DataFrame, *carry: str) -> DataFrame:
     ).withColumn("last_patient", fields_of(_last_line(F.col("_text"), "PID", fs), fs))
 
 
+def named_segments(readings: DataFrame) -> tuple[str, ...]:
+    """Segment types that readings name in declared parts, selections and rules, and those every reading needs.
+
+    The profiles name them: types have three characters, so that few come to the driver whatever the number of connections.
+    """
+    parts = [F.col(f"hl7_parts.{p}.segment") for p in HL7_PARTS]
+    named = readings.select(F.explode(F.concat(
+        F.array(F.col("selection_target.segment"), *parts), F.coalesce(F.transform("rules", lambda r: r["target"]["segment"]), F.array().cast("array<string>")))).alias("s"))
+    found = {r["s"] for r in named.filter("s IS NOT NULL AND length(s) = 3").distinct().collect()}
+    return tuple(sorted((found | {"OBR", "SPM"}) - {"OBX"}))
+
+
 def observations(
     groups: DataFrame, *carry: str, context: tuple[str, ...] = CONTEXT, descriptor_refs: DataFrame | None = None
 ) -> DataFrame:
@@ -139,20 +151,19 @@ def observations(
             "descriptor", specimen_descriptor(F.col("descriptor_ref")))
         carry = (*carry, "descriptor")
     fs = F.col("fs")
-    obx = _starts("OBX", fs)
 
     def context_of_each(segment: str) -> Column:
         return F.flatten(
             F.transform(
-                F.split("_text", _starts(segment, fs)),
+                _cut(F.col("_text"), segment, fs),
                 lambda block, i: F.array_repeat(
                     F.struct(F.when(i > 0, fields_of(_head(block), fs)).alias("fields")),
-                    F.size(F.split(F.concat(F.lit("\r"), block), obx)) - 1,
+                    F.size(_cut(F.concat(F.lit("\r"), block), "OBX", fs)) - 1,
                 ),
             )
         )
 
-    cut = F.split("_text", obx)
+    cut = _cut(F.col("_text"), "OBX", fs)
     zipped = F.arrays_zip(
         F.slice(cut, F.lit(2), F.size(cut)).alias("block"),
         *[context_of_each(s).alias(f"ctx_{s}") for s in context],

@@ -6,14 +6,10 @@ no shuffle, however many profiles there are.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import filled, glob_regex
+from ..functions.text import compiles, filled, glob_regex
 from .profiles import LOINC, PIN, _code_values, _strings
 
 LOINC_CODE = r"\A[0-9]{1,7}-[0-9]\z"
@@ -222,34 +218,7 @@ def findings(parsed: DataFrame, check: str) -> DataFrame:
     return rows.select(*PIN, F.lit(check).alias("check"), F.explode(CHECKS[check](F.col("doc"))).alias("path"))
 
 
-def all_findings(parsed: DataFrame) -> DataFrame:
-    """Every check in one pass over the catalog."""
-    rows = with_default_keys(parsed.filter("doc IS NOT NULL"))
-    lists = [F.transform(F.coalesce(f(F.col("doc")), _none()), lambda p, n=n: F.struct(F.lit(n).alias("check"), p.alias("path")))
-             for n, f in CHECKS.items()]
-    return rows.select(*PIN, F.explode(F.concat(*lists)).alias("f")).select(*PIN, "f.check", "f.path")
-
-
-def _compiles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        ok = []
-        for pattern in frame["pattern"]:
-            try:
-                re.compile(re.sub(r"\(\?<([A-Za-z])", r"(?P<\1", pattern))
-                ok.append(True)
-            except re.error:
-                ok.append(False)
-        yield frame.assign(compiles=ok)
-
-
-def pattern_validity(patterns: DataFrame) -> DataFrame:
-    """Which distinct patterns compile (checked in Arrow batches, before any of them reaches a join)."""
-    return patterns.select("pattern").distinct().mapInPandas(_compiles, "pattern STRING, compiles BOOLEAN")
-
-
 def broken_patterns(rules: DataFrame) -> DataFrame:
     """Control rules whose specimen pattern does not compile."""
     used = rules.filter("rule_type = 'SPECIMEN_ID_PATTERN'").withColumnRenamed("operand", "pattern")
-    bad = pattern_validity(used).filter("NOT compiles").select("pattern")
-    return used.join(bad, "pattern", "left_semi").select(*PIN, "rule_key", "pattern")
-
+    return used.filter(~compiles(F.col("pattern"))).select(*PIN, "rule_key", "pattern")

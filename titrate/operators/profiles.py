@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import blank_to_null, clip, filled
+from ..functions.text import blank_to_null, clip, filled, safe_pattern
 from ..schemas import ASTM_PARTS, HL7_PARTS, PROFILE
 
 LOINC = "http://loinc.org"
@@ -295,6 +295,11 @@ def _rules(doc: Column) -> Column:
     )
 
 
+def _usable_rules(doc: Column) -> Column:
+    """Rules as results are judged by: a specimen pattern that does not compile finds nothing, and says so nowhere else."""
+    return F.transform(_rules(doc), lambda r: r.withField("operand", F.when(r["rule_type"] == "SPECIMEN_ID_PATTERN", safe_pattern(r["operand"])).otherwise(r["operand"])))
+
+
 def recognition_rules(parsed: DataFrame) -> DataFrame:
     """Rules in declared order; a NONE profile must affirm it and has no rules."""
     mode = F.col("doc.controlResultRecognition.mode")
@@ -415,8 +420,12 @@ def _parts_struct(doc: Column, names: tuple[str, ...], pattern: str) -> Column:
                   F.struct(*[reference(parts[n], pattern).alias(n) for n in names]))
 
 
-def reading(parsed: DataFrame) -> DataFrame:
-    """D28 (profile half): everything needed to read results, as one row per pinned profile."""
+def reading(parsed: DataFrame, chosen: Column | None = None, settings: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """D28 (profile half): everything needed to read results, as one row per pinned profile (or connection, with ``carry``).
+
+    ``chosen``: the file-wide test code a connection selects; ``settings``: its own values by key, which go before the profile's defaults (D25).
+    """
+    own = (lambda key: F.try_element_at(settings, F.lit(key))) if settings is not None else (lambda key: F.lit(None).cast("string"))
     doc = F.col("doc")
     cfg = doc["configDefaults"]
     selection = cfg["extractionOverrides"]["resultRecordSelection"]
@@ -427,28 +436,37 @@ def reading(parsed: DataFrame) -> DataFrame:
         F.concat(F.array(t["test_code"]), _strings(t["aliases"])),
         lambda a: F.struct(a.alias("text"), t["test_code"].alias("code"), loinc_of(t).alias("loinc")))))
     return parsed.filter(doc.isNotNull()).select(
-        *PIN,
+        *PIN, *carry,
         doc["protocol"]["name"].alias("expected_protocol"),
-        doc["identifier_pattern"].alias("identifier_pattern"),
+        safe_pattern(doc["identifier_pattern"]).alias("identifier_pattern"),
         F.coalesce(selection["mode"], F.when(is_hl7, "ALL")).alias("selection_mode"),
         reference(selection["targetField"], ANY_PATH).alias("selection_target"),
         _strings(selection["values"]).alias("excluded"),
         F.when(~is_hl7, _parts_struct(doc, ASTM_PARTS, ASTM_REFERENCE)).alias("parts"),
         F.when(is_hl7, _parts_struct(doc, HL7_PARTS, HL7_REFERENCE)).alias("hl7_parts"),
         F.coalesce(cfg["extractionOverrides"]["specimenPosition"], F.lit("PRECEDING")).alias("specimen_position"),
-        F.substring(F.coalesce(cfg["numberFormat"], F.lit(".")), 1, 1).alias("decimal_separator"),
+        F.substring(F.coalesce(own("numberFormat"), cfg["numberFormat"], F.lit(".")), 1, 1).alias("decimal_separator"),
         aliases_of.alias("alias_codes"), loincs.alias("loinc_codes"),
         _definitions(doc).alias("definitions"), _failures(doc).alias("failures"),
         _flag_names(doc).alias("flag_names"), doc["sample_flags"]["raisedValue"].alias("flag_raised"),
-        doc["controlResultRecognition"]["mode"].alias("recognition_mode"), _rules(doc).alias("rules"),
+        doc["controlResultRecognition"]["mode"].alias("recognition_mode"), _usable_rules(doc).alias("rules"),
         F.map_entries(doc["column_mapping"]).alias("column_mapping"), _code_values(doc).alias("code_values"),
         F.coalesce(doc["result_value_order"], F.array(F.lit("result"))).alias("value_order"),
-        doc["sheet_detection"].alias("layout"), cfg["delimiter"].alias("delimiter"),
-        F.coalesce(cfg["skipRows"], F.lit(0)).alias("skip_rows"),
-        file_test_code(doc, F.lit(None).cast("string"))["code"].alias("file_test_code"),
+        doc["sheet_detection"].alias("layout"), F.coalesce(own("delimiter"), cfg["delimiter"]).alias("delimiter"),
+        F.coalesce(own("skipRows").try_cast("int"), cfg["skipRows"], F.lit(0)).alias("skip_rows"),
+        file_test_code(doc, F.lit(None).cast("string") if chosen is None else chosen)["code"].alias("file_test_code"),
     )
 
 
 def active_connections(parsed: DataFrame, connections: DataFrame) -> DataFrame:
-    """Connection x pinned profile, one row per connection."""
-    return connections.join(reading(parsed), list(PIN))
+    """Connection x pinned profile, one row per connection, read with the connection's own values.
+
+    Connections may carry code_overrides (map), chosen_test_code and settings (map); each is NULL where they do not.
+    """
+    optional = {"code_overrides": "map<string,string>", "chosen_test_code": "string", "settings": "map<string,string>"}
+    for name, kind in optional.items():
+        if name not in connections.columns:
+            connections = connections.withColumn(name, F.lit(None).cast(kind))
+    own = tuple(c for c in connections.columns if c not in PIN)
+    bodies = parsed.select(*PIN, "doc")
+    return reading(connections.join(bodies, list(PIN)), F.col("chosen_test_code"), F.col("settings"), own)

@@ -30,7 +30,7 @@ def specimen_prefix(specimen_id: Column, operand: Column) -> Column:
 
 
 def specimen_pattern(specimen_id: Column, operand: Column) -> Column:
-    """The whole specimen id, ignoring case. Patterns that do not compile are NULL in the rule dimension."""
+    """The whole specimen id, ignoring case. The reading holds patterns that compile (``profiles.reading``)."""
     return F.rlike(specimen_id, F.concat(F.lit(r"(?i)\A(?:"), operand, F.lit(r")\z")))
 
 

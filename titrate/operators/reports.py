@@ -147,24 +147,24 @@ def profile_summaries(profiles: DataFrame) -> DataFrame:
 
 
 def recognition_summary(parsed: DataFrame) -> DataFrame:
-    """How each profile recognizes controls, conditions in declared order."""
+    """How each profile recognizes controls: mode, basis and the ordered conditions.
+
+    ``basis`` is none (affirmed: no controls), any_condition or unset; a condition is (rule_type, target_field, operand), the operand of a
+    pattern left out. Wording is the reader's.
+    """
     r = F.col("doc.controlResultRecognition")
     rules = F.map_entries(r["rules"])
 
     def condition(e: Column) -> Column:
         v = e["value"]
-        return (
-            F.when(v["ruleType"] == "SPECIMEN_ID_PREFIX", F.concat(F.lit("Specimen ID starts with "), v["operand"]))
-            .when(v["ruleType"] == "SPECIMEN_ID_PATTERN", F.lit("Specimen ID matches a configured pattern"))
-            .when(v["ruleType"] == "FIELD_EQUALS", F.concat(v["targetField"], F.lit(" is "), v["operand"]))
-            .otherwise(F.concat(v["targetField"], F.lit(" contains "), v["operand"]))
-        )
+        secret = v["ruleType"] == "SPECIMEN_ID_PATTERN"
+        return F.struct(v["ruleType"].alias("rule_type"), v["targetField"].alias("target_field"), F.when(~secret, v["operand"]).alias("operand"))
 
     none = r["mode"] == "NONE"
-    text = F.when(none, "This interface carries no control results.").when(F.size(rules) > 0, "Any listed condition identifies a control result.").otherwise(
-        "Control-result recognition is not configured.")
-    return parsed.select("profile_id", "revision", r["mode"].alias("mode"), text.alias("description"),
-                         F.when(none, F.array().cast("array<string>")).otherwise(F.transform(rules, condition)).alias("conditions"))
+    basis = F.when(none, "none").when(F.size(rules) > 0, "any_condition").otherwise("unset")
+    empty = F.array().cast("array<struct<rule_type:string,target_field:string,operand:string>>")
+    return parsed.select("profile_id", "revision", r["mode"].alias("mode"), basis.alias("basis"),
+                         F.when(none, empty).otherwise(F.transform(rules, condition)).alias("conditions"))
 
 
 def exclusive_directories(claims: DataFrame) -> DataFrame:

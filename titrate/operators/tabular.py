@@ -144,7 +144,7 @@ def rows_to_results(rows: DataFrame) -> DataFrame:
 def profile_coded(rows: DataFrame) -> DataFrame:
     """Profile codes first, then flags, then the reading (the order the rules depend on)."""
     return rows.withColumn("instrument_code", F.col("test_code")).withColumn(
-        "test_code", profile_code(F.col("test_code"), F.col("alias_codes"))
+        "test_code", profile_code(F.col("test_code"), F.col("alias_codes"), F.col("code_overrides"))
     )
 
 
@@ -181,7 +181,7 @@ def recognized(rows: DataFrame) -> DataFrame:
 
 READING = ("connection_id", "column_mapping", "code_values", "value_order", "layout", "delimiter", "skip_rows",
            "file_test_code", "alias_codes", "failures", "decimal_separator", "flag_names", "flag_raised",
-           "recognition_mode", "rules")
+           "recognition_mode", "rules", "code_overrides")
 
 
 def delimited_results(files: DataFrame, readings: DataFrame) -> DataFrame:
@@ -230,8 +230,10 @@ def header_rows(cells: DataFrame, layouts: DataFrame) -> DataFrame:
 def ods_header_rows(cells: DataFrame, layouts: DataFrame, mappings: DataFrame) -> DataFrame:
     """The marker's first row in the table, else the first row with a sample header and a result header.
 
-    ``mappings`` holds (file_id, header, field) with only sampleId and the selected value fields.
+    ``mappings`` holds (file_id, header, field) with only sampleId and the selected value fields. Of several sheets the first with any text counts.
     """
+    first = cells.filter(filled(F.col("text"))).groupBy("file_id").agg(F.min("sheet_no").alias("sheet_no"))
+    cells = cells.join(first, ["file_id", "sheet_no"])
     marked = cells.filter("col_no = 0").join(layouts.filter("header_marker IS NOT NULL"), "file_id")
     marked = marked.filter(clip(F.col("text")) == F.col("header_marker")).groupBy("file_id").agg(
         F.min("row_no").alias("header_row"))

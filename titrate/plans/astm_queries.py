@@ -175,7 +175,8 @@ SELECT note, CAST(count(*) AS BIGINT) AS n FROM (SELECT {NOTE} AS note FROM astm
 GROUP BY 1""")
 def e15(spark, sf_dir):
     comments = astm.records(tb.astm_messages(spark, sf_dir)).filter("rec_type = 'C'")
-    ref = F.struct(F.lit(4).alias("field"), F.lit(0).alias("component"))
+    k = F.substring_index("message_id", ".", -1).cast("long") % tb.N_CONNECTIONS
+    ref = F.struct(tb.by_layout(k, lambda at: F.lit(at["note"])).alias("field"), F.lit(0).alias("component"))
     return comments.select(astm.note_text(F.col("line"), ref).alias("note")).groupBy("note").agg(
         F.count("*").alias("n"))
 

@@ -90,7 +90,7 @@ def named_sources(spark, sf_dir):
     key, n = F.col("o_orderkey"), F.col("o_custkey") % 25
     source = (
         F.when(key % 4 == 0, tb.text("connection:c", n)).when(key % 4 == 1, tb.text("host", n))
-        .when(key % 4 == 2, tb.text("/data/lab", n, "/run", key, ".csv")).otherwise(tb.text("/other/", n, "/x", key, ".tsv"))
+        .when(key % 4 == 2, tb.text("/data/lab", n, "/run,", key, ".csv")).otherwise(tb.text("/other/", n, "/x", key, ".tsv"))
     )
     return tb.table(spark, sf_dir, "orders").select(tb.text("M", key).alias("message_id"), source.alias("source_id"))
 
@@ -100,7 +100,7 @@ def bindings(spark, sf_dir):
     rows = F.array(
         F.struct(tb.text("connection:c", n).alias("binding_key"), tb.text("c", n).alias("connection_id"),
                  tb.text("host", n - n % 2).alias("inbound_source")),
-        F.struct(tb.text("/data/lab", n, "/*.csv").alias("binding_key"), tb.text("g", n).alias("connection_id"), F.lit(None).cast("string").alias("inbound_source")),
+        F.struct(tb.text("/data/lab", n, "/[!a-q]*,[0-9]*.{csv,tsv}").alias("binding_key"), tb.text("g", n).alias("connection_id"), F.lit(None).cast("string").alias("inbound_source")),
         F.struct(tb.text("*", n, ".tsv").alias("binding_key"), tb.text("t", n).alias("connection_id"), F.lit(None).cast("string").alias("inbound_source")),
     )
     return tb.table(spark, sf_dir, "nation").select(F.explode(rows).alias("b")).select("b.*")
@@ -135,10 +135,10 @@ def c04(spark, sf_dir):
     return attribution.listener_sizes(traffic(spark, sf_dir), connections(spark, sf_dir)).select("message_id", "n_candidates")
 
 
-@query("c05_address_rung", f"WITH {LADDER_SQL} SELECT message_id, any_value(n_addr)::BIGINT AS n_by_address, CAST(count(*) AS BIGINT) AS n_pool FROM pool2 GROUP BY 1")
+@query("c05_address_rung", f"WITH {LADDER_SQL} SELECT m.message_id, coalesce(any_value(p.n_addr), 0)::BIGINT AS n_by_address, CAST(count(p.message_id) AS BIGINT) AS n_pool FROM msg m LEFT JOIN pool2 p USING (message_id) GROUP BY 1")
 def c05(spark, sf_dir):
     rows = attribution.address_pool(traffic(spark, sf_dir), connections(spark, sf_dir))
-    return rows.filter("n_pool > 0").select("message_id", "n_by_address", "n_pool")
+    return rows.select("message_id", "n_by_address", "n_pool")
 
 
 @query("c06_sender_rung", f"WITH {LADDER_SQL} SELECT message_id, id AS connection_id FROM res WHERE n = 1 AND by_sender")
@@ -152,15 +152,15 @@ def c07(spark, sf_dir):
     return attribution.on_listener(blank, connections(spark, sf_dir)).select("message_id", "n_left")
 
 
-@query("c08_pattern_rung", f"WITH {LADDER_SQL} SELECT r.message_id, r.n AS n_left FROM res r JOIN msg m USING (message_id) WHERE m.o_orderkey % 6 IN (0, 4)")
+@query("c08_pattern_rung", f"WITH {LADDER_SQL} SELECT message_id, n AS n_left FROM res")
 def c08(spark, sf_dir):
-    key = F.substring("message_id", 2, 20).cast("long")
-    return resolved(spark, sf_dir).filter((key % 6).isin(0, 4)).select("message_id", "n_left")
+    return resolved(spark, sf_dir).select("message_id", "n_left")
 
 
-@query("c09_resolution", f"WITH {LADDER_SQL} SELECT message_id, connection_id, basis, reason, candidates FROM out")
+@query("c09_resolution", f"""WITH {LADDER_SQL} SELECT message_id, connection_id, basis, reason, candidates,
+  CASE reason WHEN 'UNREGISTERED_SOURCE' THEN 'none' WHEN 'AMBIGUOUS_SOURCE' THEN 'several' END AS found FROM out""")
 def c09(spark, sf_dir):
-    return resolved(spark, sf_dir).select("message_id", "connection_id", "basis", "reason", F.array_join("candidates", ", ").alias("candidates"))
+    return resolved(spark, sf_dir).select("message_id", "connection_id", "basis", "reason", F.array_join("candidates", ", ").alias("candidates"), "detail.found")
 
 
 @query("c10_transport_match", """SELECT protocol, transport, saved, matches, CAST(count(*) AS BIGINT) AS n FROM (SELECT protocol, transport, saved,
@@ -215,7 +215,7 @@ def c13(spark, sf_dir):
         tb.text("f", key).alias("file_id"), tb.text("/in/d", F.col("o_custkey") % 40, "/r", key, F.when(key % 2 == 0, ".csv").otherwise(".txt")).alias("path"))
     n = F.col("n_nationkey")
     regs = tb.table(spark, sf_dir, "nation").select(tb.text("/in/d", n).alias("directory"), F.explode(F.array(
-        F.struct(F.lit(0).alias("ord"), F.lit("*.{csv,tsv}").alias("pattern"), tb.text("csv", n).alias("owner")),
+        F.struct(F.lit(0).alias("ord"), F.lit("[!a]*[0-9].{csv,tsv}").alias("pattern"), tb.text("csv", n).alias("owner")),
         F.struct(F.lit(1).alias("ord"), F.lit("r*").alias("pattern"), tb.text("any", n).alias("owner")))).alias("r")).select("directory", "r.*")
     return attribution.file_owner(files, regs).select("file_id", "owner")
 

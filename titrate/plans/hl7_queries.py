@@ -45,7 +45,8 @@ SELECT rec_type, CAST(sum(c) AS BIGINT) AS n FROM (
   UNION ALL SELECT 'OBR', count_if(group_no = 2 OR o_orderkey % 7 <> 6) FROM hl7_grp
   UNION ALL SELECT 'OBX', count(*) FROM hl7_obs
   UNION ALL SELECT 'NTE', 2 * count(*) FROM orders
-  UNION ALL SELECT 'SPM', count_if(o_orderkey % 2 = 0) FROM orders) GROUP BY 1""")
+  UNION ALL SELECT 'ZXX', count(*) FROM orders UNION ALL SELECT 'PV2', count_if(o_orderkey % 5 = 1) FROM orders
+  UNION ALL SELECT 'SPM', count_if(o_orderkey % 2 = 0) FROM orders) GROUP BY 1 HAVING sum(c) > 0""")
 def f01(spark, sf_dir):
     return hl7.segments(tb.hl7_messages(spark, sf_dir)).groupBy("rec_type").agg(F.count("*").alias("n"))
 
@@ -56,22 +57,31 @@ def f02(spark, sf_dir):
 
 
 _TIME = "strftime(o_orderdate, '%Y%m%d%H%M%S')"
-_GROUP2 = f"""'MSH|^~\\&|APP' || k || '|FAC|||' || {_TIME} || '||ORU^R01|' || o_orderkey || '|'
-  || CASE WHEN o_orderpriority LIKE '1%' THEN 'Q' ELSE 'P' END || '|2.3.1' || chr(13) || 'PID|2||PIDB' || o_custkey
+_HEADER = f"""'MSH|^~\\&|APP' || k || '|FAC|||' || {_TIME} || '||ORU^R01|' || o_orderkey || '|'
+  || CASE WHEN o_orderpriority LIKE '1%' THEN 'Q' ELSE 'P' END || '|2.3.1'"""
+_GROUP1 = f"""concat_ws(chr(13), {_HEADER}, 'PID|1|||PID' || o_custkey || '||FAM' || o_custkey || '^GIV',
+  CASE WHEN o_orderkey % 7 <> 6 THEN 'OBR|1|P' || o_orderkey || '|' || CASE WHEN o_orderkey % 3 = 1 THEN '' ELSE 'F' || o_orderkey END END,
+  'ZXX|1|z' || (o_orderkey % 3), CASE WHEN o_orderkey % 5 = 1 THEN 'PV2|1||ward^x' END,
+  'OBX|1|NM|TOT^Total^L||' || CAST(o_totalprice AS DECIMAL(18,2)) || '|USD|||0-100000|N~ H||F|||' || {_TIME} || '.5+0230||op^x|||I' || k,
+  'NTE|1|||note ' || o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'SPM|1|||||SER' || k END,
+  'OBX|2|SN|RATIO^Ratio||' || ['>^100', '^1^:^128', '=^5.5', '<=^7'][o_orderkey % 4 + 1] || '|x||||||P', 'NTE|1|||',
+  'OBX|3|ST|CALL^Call||' || CASE WHEN o_orderkey % 5 = 0 THEN '' WHEN o_orderkey % 2 = 0 THEN 'POS' ELSE 'NEGATIF' END || '|u|sub',
+  'OBX|4|IS|FLG^Warned||' || CASE WHEN o_orderkey % 3 = 0 THEN 'T' ELSE 'F' END, 'OBX|5|NM|MODE7^Mode||1')"""
+_GROUP2 = f"""{_HEADER} || chr(13) || 'PID|2|||PIDB' || o_custkey
   || chr(13) || 'OBR|2||G' || o_orderkey || chr(13) || 'OBX|1|NM|TOT^Total||1.50|USD'"""
 
 
 @query("f03_group_hash", f"""WITH {HL7}
-SELECT message_id, sha256({_GROUP2}) AS content_hash FROM hl7_grp WHERE group_no = 2""")
+SELECT message_id, group_no, sha256(CASE WHEN group_no = 2 THEN {_GROUP2} ELSE {_GROUP1} END) AS content_hash FROM hl7_grp""")
 def f03(spark, sf_dir):
-    return group_rows(spark, sf_dir).filter("group_no = 2").select("message_id", "content_hash")
+    return group_rows(spark, sf_dir).select("message_id", "group_no", "content_hash")
 
 
 @query("f04_delimiters", f"""SELECT '|' AS fs, '^' AS cs, '~' AS rs, '\\&' AS declared, '&' AS ss,
-  CAST(count(*) AS BIGINT) AS n FROM orders""")
+  CAST(count(*) AS BIGINT) AS n FROM (SELECT 1 FROM orders UNION ALL SELECT 1 FROM orders WHERE o_orderkey % 4 = 0)""")
 def f04(spark, sf_dir):
     header = F.substring_index("raw_text", "\r", 1)
-    groups = hl7.sectioned(group_rows(spark, sf_dir).filter("group_no = 1"))
+    groups = hl7.sectioned(group_rows(spark, sf_dir))
     declared = tb.hl7_messages(spark, sf_dir).select("message_id", F.substring(header, 7, 2).alias("declared"))
     return groups.join(declared, "message_id").groupBy("fs", "cs", "rs", "ss", "declared").agg(F.count("*").alias("n"))
 
@@ -88,7 +98,7 @@ SELECT message_id, group_no, n - 1 AS obs_no, '|' AS msh1, '^~\\&' AS msh2, 'ORU
 FROM hl7_obs""")
 def f05(spark, sf_dir):
     paths = {"msh1": ("MSH", 1), "msh2": ("MSH", 2), "msh9": ("MSH", 9, 1, 1), "code": ("OBX", 3, 1),
-             "flags": ("OBX", 8), "operator": ("OBX", 16, 1)}
+             "flags": ("OBX", 10), "operator": ("OBX", 17, 1)}
     return observation_rows(spark, sf_dir).select(
         "message_id", "group_no", "obs_no", *[hl7.read(_path(*p)).alias(n) for n, p in paths.items()])
 
@@ -100,8 +110,8 @@ SELECT message_id, group_no, n - 1 AS obs_no, specimen_id,
   CASE WHEN group_no = 1 AND n = 2 THEN 'note ' || o_orderkey ELSE '' END AS note FROM hl7_obs""")
 def f06(spark, sf_dir):
     return observation_rows(spark, sf_dir).select(
-        "message_id", "group_no", "obs_no", "specimen_id", hl7.read(_path("PID", 3)).alias("patient"),
-        hl7.read(_path("SPM", 4)).alias("specimen"), hl7.read(_path("NTE", 3)).alias("note"))
+        "message_id", "group_no", "obs_no", "specimen_id", hl7.read(_path("PID", 4)).alias("patient"),
+        hl7.read(_path("SPM", 6)).alias("specimen"), hl7.read(_path("NTE", 4)).alias("note"))
 
 
 @query("f07_following_specimen", f"""WITH {HL7}
@@ -111,7 +121,7 @@ SELECT message_id, group_no, n - 1 AS obs_no,
 def f07(spark, sf_dir):
     rows = with_reading(observation_rows(spark, sf_dir), spark, sf_dir)
     bound = hl7.specimen_lines(F.col("specimen_position"))
-    return rows.select("message_id", "group_no", "obs_no", hl7.read(_path("SPM", 4), columns=bound).alias("specimen"))
+    return rows.select("message_id", "group_no", "obs_no", hl7.read(_path("SPM", 6), columns=bound).alias("specimen"))
 
 
 @query("f08_accession", f"""WITH {HL7}
@@ -121,7 +131,7 @@ def f08(spark, sf_dir):
 
 
 @query("f09_record_exclusion", f"""WITH {HL7}
-SELECT test_code, CAST(count(*) AS BIGINT) AS n FROM hl7_obs WHERE test_code <> '08001' GROUP BY 1""")
+SELECT test_code, CAST(count(*) AS BIGINT) AS n FROM hl7_obs WHERE test_code <> 'MODE7' GROUP BY 1""")
 def f09(spark, sf_dir):
     code = hl7.read(_path("OBX", 3, 1))
     return received_rows(spark, sf_dir).groupBy(code.alias("test_code")).agg(F.count("*").alias("n"))

@@ -114,12 +114,18 @@ def h11(spark, sf_dir):
     return rows.groupBy("a.canonical", F.get("a.codings", F.lit(0))["code"].alias("code")).agg(F.count("*").alias("n"))
 
 
-@query("h12_glob_match", "SELECT pattern, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(['*.csv', 'run-?.{csv,tsv}', '**/x*']) AS pattern, ['run-' || (o_orderkey % 20) || '.csv', 'run-' || (o_orderkey % 20) || '.tsv', 'a/b/x' || o_orderkey][o_orderkey % 3 + 1] AS path, o_orderkey FROM orders) "
-       "WHERE CASE pattern WHEN '*.csv' THEN o_orderkey % 3 = 0 WHEN '**/x*' THEN o_orderkey % 3 = 2 ELSE o_orderkey % 3 < 2 AND o_orderkey % 20 < 10 END GROUP BY 1")
+GLOBS = ("*.csv", "run-?.{csv,tsv}", "**/x*", "run-1[0-4].csv", "[!a]*", "run-1,2.{csv,tsv}")
+
+
+@query("h12_glob_match", """SELECT pattern, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(['*.csv', 'run-?.{csv,tsv}', '**/x*', 'run-1[0-4].csv', '[!a]*', 'run-1,2.{csv,tsv}']) AS pattern,
+  o_orderkey % 4 AS kind, o_orderkey % 20 AS m FROM orders) WHERE CASE pattern WHEN '*.csv' THEN kind IN (0, 3) WHEN '**/x*' THEN kind = 2 WHEN 'run-1[0-4].csv' THEN kind = 0 AND m BETWEEN 10 AND 14
+  WHEN '[!a]*' THEN kind <> 2 WHEN 'run-1,2.{csv,tsv}' THEN kind = 3 ELSE kind < 2 AND m < 10 END GROUP BY 1""")
 def h12(spark, sf_dir):
     key = F.col("o_orderkey")
-    path = F.element_at(F.array(tb.text("run-", key % 20, ".csv"), tb.text("run-", key % 20, ".tsv"), tb.text("a/b/x", key)), (key % 3 + 1).cast("int"))
-    hits = F.array(*[F.when(path.rlike(text.glob_to_regex(g)) & F.rlike(path, text.glob_regex(F.lit(g))), F.lit(g)) for g in ("*.csv", "run-?.{csv,tsv}", "**/x*")])
+    path = F.element_at(F.array(tb.text("run-", key % 20, ".csv"), tb.text("run-", key % 20, ".tsv"), tb.text("a/b/x", key), F.lit("run-1,2.csv")), (key % 4 + 1).cast("int"))
+    globs = spark.createDataFrame([(g,) for g in GLOBS], "pattern string").select("pattern", text.glob_regex(F.col("pattern")).alias("regex"))
+    listed = globs.agg(F.collect_list(F.struct("pattern", "regex")).alias("g")).first()["g"]  # the six patterns above
+    hits = F.array(*[F.when(F.rlike(path, F.lit(x["regex"])), F.lit(x["pattern"])) for x in listed])
     return tb.table(spark, sf_dir, "orders").select(F.explode(hits).alias("pattern")).filter("pattern IS NOT NULL").groupBy("pattern").agg(F.count("*").alias("n"))
 
 

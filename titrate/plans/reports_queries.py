@@ -25,9 +25,9 @@ ROUTED = """r AS (SELECT event_id, ['ASTM','HL7','CSV'][user_id % 3 + 1] AS prot
 
 
 @query("l01_counts_by_state", f"""WITH {QUEUE_SQL} SELECT s.state, CAST(count(q.state) AS BIGINT) AS n FROM (VALUES ('RECEIVED'), ('PENDING'), ('RETRYING'), ('DELIVERED'), ('DMQ')) s(state)
-LEFT JOIN (SELECT * FROM q WHERE state <> 'DMQ') q USING (state) GROUP BY 1""")
+LEFT JOIN q USING (state) GROUP BY 1""")
 def l01(spark, sf_dir):
-    return reports.counts_by_state(queue(spark, sf_dir).filter("state <> 'DMQ'"))
+    return reports.counts_by_state(queue(spark, sf_dir))
 
 
 @query("l02_oldest_undelivered", f"""WITH {QUEUE_SQL} SELECT strftime(min(received_at), '%Y-%m-%d %H:%M:%S') AS oldest, CAST(epoch({NOW_SQL}) - floor(epoch(min(received_at))) AS BIGINT) AS age_seconds
@@ -140,9 +140,12 @@ def l17(spark, sf_dir):
 
 
 @query("l18_recognition_summary", f"""WITH {PART} SELECT profile_id, CASE WHEN k % 5 <= 1 THEN 'NONE' ELSE 'RULES' END AS mode,
-  CASE WHEN k % 5 <= 1 THEN '' ELSE 'Specimen ID matches a configured pattern; O.12 is Q' END AS conditions FROM p""")
+  CASE WHEN k % 5 <= 1 THEN 'none' ELSE 'any_condition' END AS basis,
+  CASE WHEN k % 5 <= 1 THEN '' ELSE 'SPECIMEN_ID_PATTERN; FIELD_EQUALS O.12 Q' END AS conditions FROM p""")
 def l18(spark, sf_dir):
-    return reports.recognition_summary(parsed(spark, sf_dir)).select("profile_id", "mode", F.array_join("conditions", "; ").alias("conditions"))
+    return reports.recognition_summary(parsed(spark, sf_dir)).select(
+        "profile_id", "mode", "basis",
+        F.array_join(F.transform("conditions", lambda c: F.concat_ws(" ", c["rule_type"], c["target_field"], c["operand"])), "; ").alias("conditions"))
 
 
 @query("l19_exclusive_directories", """WITH c AS (SELECT '/in/' || (s_suppkey // 2) AS directory, 'an' || CASE WHEN s_suppkey % 6 < 4 THEN s_suppkey // 2 ELSE s_suppkey END AS analyzer_id,

@@ -21,12 +21,12 @@ def a01(spark, sf_dir):
 
 
 @query("a02_text_lines", """SELECT doc_id AS path, line_no - 1 AS line_no, line FROM (
-  SELECT doc_id, unnest(string_split(regexp_replace(text, '(\\r?\\n)+$', ''), chr(10))) AS line,
-    generate_subscripts(string_split(regexp_replace(text, '(\\r?\\n)+$', ''), chr(10)), 1) AS line_no FROM documents
-  WHERE NOT contains(text, chr(13)))""")
+  SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_no FROM (SELECT doc_id, string_split(regexp_replace(CASE WHEN doc_id % 3 = 0
+    THEN regexp_replace(text, '\\r?\\n', chr(10), 'g') ELSE regexp_replace(text, '\\r\\n', chr(10), 'g') END, '\\n+$', ''), chr(10)) AS ls FROM documents))""")
 def a02(spark, sf_dir):
-    d = tb.table(spark, sf_dir, "documents").filter(~F.col("text").contains("\r"))
-    files = d.select(F.col("doc_id").alias("path"), F.encode(F.concat(F.lit("﻿"), "text"), "UTF-8").alias("content"))
+    d = tb.table(spark, sf_dir, "documents")
+    body = F.when(F.col("doc_id") % 3 == 0, F.regexp_replace("text", r"\r?\n", "\r\n")).otherwise(F.col("text"))  # a third with CRLF
+    files = d.select(F.col("doc_id").alias("path"), F.encode(F.concat(F.lit("﻿"), body), "UTF-8").alias("content"))
     return messages.text_lines(files)
 
 

@@ -52,15 +52,27 @@ def n02(spark, sf_dir):
     return spark.read.parquet(target).select("receipt_id")
 
 
-@query("n03_frame_sessions", f"WITH {SESSION_SQL} SELECT session_id, raw_text, n_frames, CASE WHEN kind IN (1, 3, 4) THEN 'INCOMPLETE_TRANSMISSION' ELSE 'COMPLETE' END AS state FROM ses WHERE kind <> 5")
+@query("n03_frame_sessions", f"""WITH {SESSION_SQL} SELECT session_id, raw_text, n_frames, CASE WHEN kind IN (1, 3, 4, 5) THEN 'INCOMPLETE_TRANSMISSION' ELSE 'COMPLETE' END AS state FROM ses
+UNION ALL SELECT session_id, raw_text, n_frames, 'COMPLETE' FROM ses WHERE kind = 0""")
 def n03(spark, sf_dir):
+    """Seven kinds of session; those of kind 0 send twice, those of kind 5 never end and run into the receive timeout at the next batch."""
     rows = wire_frames(spark, sf_dir).withColumn("issue", frames.frame_issue()).select(
         "session_id", "seq", F.lit("FRAME").alias("kind"), "frame_no", "text", "terminator", "checksum", "issue")
+    number = F.substring("session_id", 2, 20).cast("long")
+    again = rows.filter(number % 7 == 0).withColumn("seq", F.col("seq") + 100)
     ends = tb.table(spark, sf_dir, "orders").filter("o_orderkey % 7 <> 5").select(tb.text("s", F.col("o_orderkey")).alias("session_id"), F.lit(99).alias("seq"), F.lit("EOT").alias("kind"))
-    everything = rows.unionByName(ends, allowMissingColumns=True)
-    target, checkpoint, _ = places(spark)
-    sessions = jobs.frame_sessions(as_stream(spark, everything, 1), None)
-    finished(sessions.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    late = ends.filter(F.substring("session_id", 2, 20).cast("long") % 7 == 0).withColumn("seq", F.col("seq") + 100)
+    everything = rows.unionByName(again).unionByName(ends, allowMissingColumns=True).unionByName(late, allowMissingColumns=True)
+    path, target, checkpoint = places(spark)
+    everything.repartition(1).write.parquet(path)
+    spark.read.parquet(path).limit(1).withColumns({"session_id": F.lit("clock"), "kind": F.lit("EOT")}).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    before = spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled")
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # timers alone would keep the run from ending
+    try:
+        finished(jobs.frame_sessions(stream, 1).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    finally:
+        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", before)
     return spark.read.parquet(target)
 
 
@@ -83,13 +95,29 @@ def n05(spark, sf_dir):
     return spark.read.parquet(target).groupBy("path").agg(F.count("*").alias("n"), F.count_if("stable").alias("n_stable"))
 
 
-@query("n06_delivery_hand_off", f"""WITH {QUEUE_SQL} SELECT delivery_id, connection_id FROM q WHERE state IN ('RECEIVED','PENDING','RETRYING') AND (next_attempt_at IS NULL OR next_attempt_at <= {NOW_SQL})
-  AND (lease_until IS NULL OR lease_until < {NOW_SQL})""")
+LATER_SQL = f"{NOW_SQL} + INTERVAL 30 DAY"
+_DUE_AT = "state IN ('RECEIVED','PENDING','RETRYING') AND (next_attempt_at IS NULL OR next_attempt_at <= {now}) AND (lease_until IS NULL OR lease_until < {now})"
+
+
+@query("n06_delivery_hand_off", f"""WITH {QUEUE_SQL}, a AS (SELECT *, {_DUE_AT.format(now=NOW_SQL)} AS first, {_DUE_AT.format(now=LATER_SQL)} AS later, event_id % 10 = 1 AS again FROM q)
+SELECT delivery_id, 0 AS attempts, connection_id FROM a WHERE first OR (later AND NOT again)
+UNION ALL SELECT delivery_id, 1, connection_id FROM a WHERE again AND {_DUE_AT.format(now=LATER_SQL)}""")
 def n06(spark, sf_dir):
-    target, checkpoint, _ = places(spark)
-    rows = queue(spark, sf_dir)
-    finished(jobs.hand_off(as_stream(spark, rows.unionByName(rows.filter("has_bundle")), 2), target, checkpoint, now))
-    return spark.read.parquet(target).select("delivery_id", "connection_id")
+    """Two runs at two clock times: what was not due goes out with the second, and a tenth of the deliveries come back for another attempt."""
+    waiting, target, checkpoint = places(spark)
+    path = places(spark, 1)[0]
+    rows = queue(spark, sf_dir).withColumn("attempts", F.lit(0))
+    rows.unionByName(rows.filter("has_bundle")).repartition(2).write.parquet(path)
+
+    def run(clock):
+        stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+        finished(jobs.hand_off(stream, waiting, target, checkpoint, clock))
+
+    run(now)
+    number = F.substring("delivery_id", 2, 20).cast("long")
+    rows.filter(number % 10 == 1).withColumn("attempts", F.lit(1)).repartition(1).write.mode("append").parquet(path)
+    run(lambda: now() + F.expr("INTERVAL 30 DAY"))
+    return spark.read.parquet(target).select("delivery_id", "attempts", "connection_id")
 
 
 @query("n07_running_counters", """SELECT ['ASTM','HL7','CSV'][user_id % 3 + 1] AS protocol, ['TCP','MLLP'][event_id % 2 + 1] AS transport, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2""")
@@ -98,7 +126,7 @@ def n07(spark, sf_dir):
 
     target, checkpoint, _ = places(spark)
     finished(jobs.running_counters(as_stream(spark, routed(spark, sf_dir), 2), target, checkpoint))
-    return spark.read.parquet(target)
+    return jobs.newest(spark, target)
 
 
 @query("n07_windowed_throughput", """SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS window_start, ['ASTM','HL7','CSV'][user_id % 3 + 1] AS protocol, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2""")

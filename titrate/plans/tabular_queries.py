@@ -46,8 +46,8 @@ def g01(spark, sf_dir):
 
 @query("g05_semantic_fields", f"""WITH {CSV}
 SELECT path, n - 1 AS row_no, sample_id, raw_code AS code, units, qc_task,
-  CASE WHEN n IN (1, 3, 4, 7) THEN value WHEN n = 5 THEN value END AS result,
-  CASE WHEN n = 1 THEN '33.1' WHEN n = 2 THEN value END AS ct_value,
+  CASE WHEN n IN (1, 3, 4, 7) THEN value WHEN n = 5 THEN value END AS ct_value,
+  CASE WHEN n = 1 THEN '33.1' WHEN n = 2 THEN value END AS result,
   CASE WHEN n = 2 THEN 'POS' END AS call FROM csv_row""")
 def g05(spark, sf_dir):
     return row_table(spark, sf_dir).select(
@@ -89,7 +89,7 @@ def g09(spark, sf_dir):
 
 @query("g12_file_flags", f"""WITH {CSV}
 SELECT path, sample_id AS accession, 'IC' AS code, 'Internal control' AS name, value FROM csv_row
-WHERE n = 5 AND value = 'Undetermined'""")
+WHERE n = 5 AND value = 'Unclear'""")
 def g12(spark, sf_dir):
     return all_rows(spark, sf_dir).filter("flag.raised").select(
         "path", F.col("specimen_id").alias("accession"), "flag.code", "flag.name", "flag.value")
@@ -112,10 +112,10 @@ def cells(spark, sf_dir):
     """Cells of one workbook per order: a notes sheet, then the results sheet (named so in half of the files)."""
     o = tb.spread(tb.table(spark, sf_dir, "orders"))
     key = F.col("o_orderkey")
-    results = F.when(key % 2 == 0, "Results").otherwise("Data")
-    grid = [("Notes", 0, 0, F.lit("Run")), ("Notes", 0, 1, key.cast("string")), ("Notes", 1, 0, F.lit("Well "))]
+    results = F.when(key % 2 == 0, "Readings").otherwise("Data")
+    grid = [("Notes", 0, 0, F.lit("Batch")), ("Notes", 0, 1, key.cast("string")), ("Notes", 1, 0, F.lit("Slot "))]
     start = (key % 3 + 1).cast("int")
-    for col, head in enumerate(("Well", "Sample Name", "Target Name", "Quantity", "Quantity")):
+    for col, head in enumerate(("Slot", "Tube", "Channel", "Amount", "Amount")):
         grid.append((results, start, col, F.lit(head)))
     for r in (1, 2):
         row = (tb.text("A", str(r)), tb.text("W", key), F.lit(f"C{r}"), F.lit("0"), tb.money("o_totalprice"))
@@ -132,8 +132,8 @@ def cells(spark, sf_dir):
 
 def layouts(spark, sf_dir):
     o = tb.table(spark, sf_dir, "orders")
-    return o.select(tb.text("wb-", F.col("o_orderkey")).alias("file_id"), F.array(F.lit("Results")).alias("preferred_sheet_names"),
-                    F.lit("Well").alias("header_marker"),
+    return o.select(tb.text("wb-", F.col("o_orderkey")).alias("file_id"), F.array(F.lit("Readings")).alias("preferred_sheet_names"),
+                    F.lit("Slot").alias("header_marker"),
                     F.when(F.col("o_orderkey") % 5 == 0, 1).otherwise(2).alias("max_sheets_to_scan"),
                     F.lit(20).alias("max_rows_to_scan"))
 
@@ -152,24 +152,35 @@ def g02(spark, sf_dir):
 @query("g03_table_header", """SELECT 'wb-' || o_orderkey AS file_id,
   CAST(o_orderkey % 3 + 1 AS INTEGER) AS header_row FROM orders""")
 def g03(spark, sf_dir):
-    data = cells(spark, sf_dir).filter("sheet_no = 1")
+    # The notes sheet of every workbook is an empty table here: the results sheet is the first with any text.
+    data = cells(spark, sf_dir).withColumn("text", F.when(F.col("sheet_no") > 0, F.col("text")))
     by_marker = F.regexp_extract("file_id", r"(\d+)", 1).cast("long") % 2 == 0
     chosen = layouts(spark, sf_dir).withColumn("header_marker", F.when(by_marker, F.col("header_marker")))
-    mapping = F.array(F.struct(F.lit("Sample Name").alias("header"), F.lit("sampleId").alias("field")),
-                      F.struct(F.lit("Quantity").alias("header"), F.lit("result").alias("field")))
+    mapping = F.array(F.struct(F.lit("Tube").alias("header"), F.lit("sampleId").alias("field")),
+                      F.struct(F.lit("Amount").alias("header"), F.lit("result").alias("field")))
     maps = chosen.select("file_id", F.inline(mapping))
     return tabular.ods_header_rows(data, chosen, maps)
 
 
 @query("g04_header_index", f"""WITH {WORKBOOK_SQL}
-SELECT file_id, header, col_no FROM wb, (VALUES ('Well', 0), ('Sample Name', 1), ('Target Name', 2), ('Quantity', 4))
+SELECT file_id, header, col_no FROM wb, (VALUES ('Slot', 0), ('Tube', 1), ('Channel', 2), ('Amount', 4))
   t(header, col_no) WHERE o_orderkey % 2 = 0
-UNION ALL SELECT file_id, 'Well', 0 FROM wb WHERE o_orderkey % 2 = 1""")
+UNION ALL SELECT file_id, 'Slot', 0 FROM wb WHERE o_orderkey % 2 = 1""")
 def g04(spark, sf_dir):
     data = cells(spark, sf_dir)
     return tabular.header_index(data, tabular.header_rows(data, layouts(spark, sf_dir)))
 
 
+@query("g16_cells_to_results", """SELECT 'wb-' || o_orderkey AS file_id, n AS row_no, 'W' || o_orderkey AS sample_id, CASE n WHEN 1 THEN 'C1' ELSE 'T2' END AS test_code,
+  CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS raw_value FROM orders, (VALUES (1), (2)) t(n) WHERE o_orderkey % 2 = 0""")
+def g16(spark, sf_dir):
+    """Sheet, header, pivot and row rules in one: cells of workbooks to results. Odd workbooks hold their marker in the notes sheet and give none."""
+    data = cells(spark, sf_dir).withColumn("text", F.when(F.col("text") == "C2", "chan2").otherwise(F.col("text")))
+    rows = tabular.cell_rows(data, tabular.header_rows(data, layouts(spark, sf_dir)))
+    rows = join_dimension(rows.withColumn("connection_id", F.lit("file-0")), file_readings(spark, sf_dir).select(*tabular.READING), ["connection_id"])
+    return tabular.rows_to_results(tabular.semantic_fields(rows)).select("file_id", "row_no", F.col("specimen_id").alias("sample_id"), "test_code", "raw_value")
+
+
 EXPORT = "CASE WHEN o_orderkey % 7 = 0 THEN 'bad' ELSE 'R' || o_custkey || '_' || o_orderkey || '_SN' || (o_orderkey % 9) END"
 
 

@@ -7,6 +7,7 @@ import tempfile
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -32,42 +33,48 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a scratch folder only where none is set (tests)."""
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Where none is named, a scratch folder stands in on a local master, whose executors share the driver's disk; on a cluster that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
         named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
 
 
-def cut_lineage(df):
-    """Reliable checkpoint: the rows live in the shared folder, so a lost executor costs nothing."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint(eager=True)
+_written: dict[tuple[str, str], str] = {}
 
 
-_written: dict[tuple[str, str], str] = {}
+def _state_of_inputs(df) -> str:
+    """One number over path, length and time of change of every file that the rows come from."""
+    files = df.inputFiles()
+    if not files:
+        return "none"
+    listed = df.sparkSession.read.format("binaryFile").load(files).select("path", "length", "modificationTime")
+    return str(listed.agg(F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()[0])
 
 
 def written_table(spark: SparkSession, name: str, build):
-    """A small derived table, written once per application to the shared folder and read back from there.
+    """A small derived table, written once for each state of its inputs to the shared folder and read back from there.
 
-    Its files give the optimizer real sizes, and any executor can read them again after a loss.
+    Its files give the optimizer real sizes, and any executor can read them again after a loss. Input files that were changed, added or removed
+    give a new table.
     """
-    key = (spark.sparkContext.applicationId, name)
+    rows = build()
+    key = (spark.sparkContext.applicationId, f"{name} {_state_of_inputs(rows)}")
     if key in _written:
         try:
             return spark.read.parquet(_written[key])
         except AnalysisException:
-            del _written[key]  # the shared folder was cleared: build the table again
-    if key not in _written:
-        digest = hashlib.sha256(name.encode()).hexdigest()[:16]
-        path = f"{checkpoint_dir(spark)}/titrate-{spark.sparkContext.applicationId}/{digest}"
-        build().write.mode("overwrite").parquet(path)
-        _written[key] = path
-    return spark.read.parquet(_written[key])
+            del _written[key]  # the shared folder was cleared: write the table again
+    digest = hashlib.sha256(key[1].encode()).hexdigest()[:16]
+    path = f"{checkpoint_dir(spark)}/titrate-{spark.sparkContext.applicationId}/{digest}"
+    rows.write.mode("overwrite").parquet(path)
+    _written[key] = path
+    return spark.read.parquet(path)

@@ -16,9 +16,11 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import delivery, intake
+from ..operators.frames import MAX_FRAMES
 from ..sources.messages import directory_stream
 
 INCOMPLETE = "INCOMPLETE_TRANSMISSION"
+BUCKETS = 64  # of the attempt log, by a hash of the delivery
 
 
 def _per_batch(stream: DataFrame, checkpoint: str, action: Callable[[DataFrame, int], None], once: bool) -> StreamingQuery:
@@ -26,20 +28,15 @@ def _per_batch(stream: DataFrame, checkpoint: str, action: Callable[[DataFrame,
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def _stored(spark: SparkSession, path: str, before: int, schema) -> DataFrame:
-    """Rows of earlier micro-batches; none before the first."""
-    rows = spark.read.schema(schema.add("batch_id", "long") if "batch_id" not in schema.names else schema).option(
-        "ignoreMissingFiles", "true")
-    try:
-        return rows.parquet(path).filter(F.col("batch_id") < before)
-    except Exception as error:  # noqa: BLE001 - the table does not exist before its first batch
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], schema)
+def _write_batch(rows: DataFrame, path: str, batch_id: int, *partitions: str) -> None:
+    rows.drop("batch_id").write.mode("overwrite").partitionBy(*partitions).parquet(f"{path}/batch_id={batch_id}")
 
 
-def _write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
-    rows.drop("batch_id").write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def newest(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the newest micro-batch of a table that every batch writes whole."""
+    rows = spark.read.parquet(path)
+    last = rows.agg(F.max("batch_id")).first()[0]
+    return rows.filter(F.col("batch_id") == last).drop("batch_id")
 
 
 def file_intake(spark: SparkSession, directory: str, glob: str, target: str, checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -49,15 +46,12 @@ def file_intake(spark: SparkSession, directory: str, glob: str, target: str, che
 
 
 def receipts(messages: DataFrame, target: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """One receipt per source and content, however often a message is sent or a batch is replayed."""
+    """One receipt per source and content, however often a message is sent or a batch is replayed.
 
-    def store(batch: DataFrame, batch_id: int) -> None:
-        keyed = intake.with_receipt(batch)
-        first = intake.first_receipts(keyed)
-        known = _stored(batch.sparkSession, target, batch_id, first.schema)
-        _write_batch(first.join(known.select("receipt_id"), "receipt_id", "left_anti"), target, batch_id)
-
-    return _per_batch(messages, checkpoint, store, once)
+    The receipts seen so far are keys in the state store; no batch reads the stored table again.
+    """
+    fresh = intake.with_receipt(messages).dropDuplicates(["receipt_id"])
+    return _per_batch(fresh, checkpoint, lambda rows, n: _write_batch(rows, target, n), once)
 
 
 SESSION_STATE = "expected INT, previous STRING, text STRING, frames INT, final BOOLEAN"
@@ -75,26 +69,25 @@ def _sessions(timeout_ms: int | None):
             if frames:
                 yield message(text, frames, INCOMPLETE)
             return
-        ended = False
         for row in pd.concat(list(batches)).sort_values("seq").itertuples():
-            if row.kind == "EOT":
-                ended = True
-                break
+            if row.kind == "EOT":  # what follows is the session's next transmission
+                if frames:
+                    yield message(text, frames, "COMPLETE" if final and frames <= MAX_FRAMES else INCOMPLETE)
+                expected, previous, text, frames, final = 1, None, "", 0, False
+                continue
             signature = f"{row.frame_no}\x01{row.text}\x01{row.terminator}\x01{row.checksum}"
             if row.issue is not None or (row.frame_no == (expected + 7) % 8 and signature == previous):
                 continue
             if row.frame_no == expected:
-                expected, previous, text, frames = (expected + 1) % 8, signature, text + row.text, frames + 1
-                final = row.terminator == "ETX"
-        if ended:
-            if state.exists:
-                state.remove()
-            if frames:
-                yield message(text, frames, "COMPLETE" if final else INCOMPLETE)
-        else:
+                # Beyond the limit frames are counted, not kept: the transmission is incomplete.
+                text = text + row.text if frames < MAX_FRAMES else text
+                expected, previous, frames, final = (expected + 1) % 8, signature, frames + 1, row.terminator == "ETX"
+        if frames:
             state.update((expected, previous, text, frames, final))
             if timeout_ms is not None:
                 state.setTimeoutDuration(timeout_ms)
+        elif state.exists:
+            state.remove()
 
     return fold
 
@@ -107,8 +100,8 @@ def _timeout(timeout_ms: int | None) -> str:
 def frame_sessions(frames: DataFrame, timeout_ms: int | None = 60_000) -> DataFrame:
     """Frames -> messages. Needs session_id, seq, kind (FRAME or EOT), frame_no, text, terminator, checksum, issue.
 
-    A session ends with EOT, or after the receive timeout as an incomplete transmission. What one session holds is
-    bounded by the frame and message limits.
+    A transmission ends with EOT, or after the receive timeout as incomplete; a session may send several. What one session holds is
+    bounded by the frame limit.
     """
     return frames.groupBy("session_id").applyInPandasWithState(
         _sessions(timeout_ms), SESSION_OUT, SESSION_STATE, "append", _timeout(timeout_ms))
@@ -118,15 +111,19 @@ def delivery_states(events: DataFrame, log_path: str, state_path: str, checkpoin
                     once: bool = True) -> StreamingQuery:
     """Attempts and operator actions -> state and next attempt time of every delivery they touch.
 
-    The batch fold itself is used: each micro-batch appends to the log and folds again the deliveries it names.
+    The batch fold itself is used: each micro-batch appends to the log and folds again the deliveries it names, reading the log's buckets
+    (by a hash of the delivery) that hold them.
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        _write_batch(batch, log_path, batch_id)
-        log = spark.read.parquet(log_path).filter(F.col("batch_id") <= batch_id).drop("batch_id")
-        touched = spark.read.parquet(f"{log_path}/batch_id={batch_id}").select("delivery_id").distinct()
-        states = delivery.states(log.join(touched, "delivery_id", "left_semi"), max_attempts)
+        bucketed = batch.withColumn("bucket", F.pmod(F.xxhash64("delivery_id"), F.lit(BUCKETS)).cast("int"))
+        _write_batch(bucketed, log_path, batch_id, "bucket")
+        own = spark.read.parquet(f"{log_path}/batch_id={batch_id}")
+        touched = own.select("delivery_id", "bucket").distinct()
+        buckets = [r["bucket"] for r in touched.select("bucket").distinct().collect()]  # at most BUCKETS numbers
+        log = spark.read.parquet(log_path).filter((F.col("batch_id") <= batch_id) & F.col("bucket").isin(buckets)).drop("batch_id", "bucket")
+        states = delivery.states(log.join(touched.select("delivery_id"), "delivery_id", "left_semi"), max_attempts)
         _write_batch(states, state_path, batch_id)
 
     return _per_batch(events, checkpoint, fold, once)
@@ -172,22 +169,31 @@ def file_stability(observations: DataFrame, forget_ms: int | None = 24 * 3600 *
         _stability(forget_ms), FILE_OUT, FILE_STATE, "append", _timeout(forget_ms))
 
 
-def hand_off(deliveries: DataFrame, target: str, checkpoint: str, now, once: bool = True) -> StreamingQuery:
-    """Due deliveries to the sink table, each delivery once."""
+def hand_off(deliveries: DataFrame, waiting: str, target: str, checkpoint: str, now, once: bool = True) -> StreamingQuery:
+    """Due deliveries to the sink table, each attempt once. Needs delivery_id, attempts and what ``delivery.due`` reads.
+
+    Attempts seen before are keys in the state store. Work that is not due yet is written beside the sink and read again by the next batch only,
+    so it goes out with the first batch at whose time it is due; of several attempts of one delivery the newest waits.
+    """
 
     def send(batch: DataFrame, batch_id: int) -> None:
-        ready = delivery.due(batch, now()).select("delivery_id", "connection_id", "state").dropDuplicates(["delivery_id"])
-        sent = _stored(batch.sparkSession, target, batch_id, ready.schema)
-        _write_batch(ready.join(sent.select("delivery_id"), "delivery_id", "left_anti"), target, batch_id)
+        spark = batch.sparkSession
+        rows = batch if batch_id == 0 else batch.unionByName(spark.read.schema(batch.schema).parquet(f"{waiting}/batch_id={batch_id - 1}"))
+        others = [c for c in rows.columns if c != "delivery_id"]
+        rows = rows.groupBy("delivery_id").agg(F.max_by(F.struct(*others), "attempts").alias("d")).select("delivery_id", "d.*")
+        ready = delivery.due(rows, now())
+        _write_batch(ready.select("delivery_id", "attempts", "connection_id", "state"), target, batch_id)
+        held = rows.filter(F.col("state").isin(*delivery.DISPATCHABLE)).join(ready.select("delivery_id"), "delivery_id", "left_anti")
+        _write_batch(held.select(*batch.columns), waiting, batch_id)
 
-    return _per_batch(deliveries, checkpoint, send, once)
+    return _per_batch(deliveries.dropDuplicates(["delivery_id", "attempts"]), checkpoint, send, once)
 
 
 def running_counters(messages: DataFrame, target: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Received counter, updated with every batch."""
+    """Received counter, written whole with every batch; ``newest`` reads it."""
     counts = messages.groupBy("protocol", "transport").agg(F.count("*").alias("n"))
     writer = counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(
-        lambda rows, n: rows.write.mode("overwrite").parquet(target))
+        lambda rows, n: _write_batch(rows, target, n))
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
