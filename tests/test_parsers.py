@@ -2,6 +2,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from titrate.schemas import ASTM_PARTS
 from titrate.operators import astm, hl7
 
 ASTM = "\r".join([
@@ -78,3 +79,16 @@ def test_hostile_inputs_stay_linear(spark):
     many = "MSH|^~\\&|A|F\rPID|" + "|" * 150_000 + "\r" + "\r".join(f"NTE|{i}||n" for i in range(4_000)) + "\rOBX|1|NM|W||5"
     assert hl7.established(hl7.observations(hl7.patient_groups(messages(spark, many)))).count() == 1
     assert time.time() - start < 60
+
+
+def test_off_scale_reading_by_declared_parts(spark):
+    """Hand-derived: a call with a flag at the end of its range says a limit; a record with neither call nor number says nothing."""
+    ref = lambda field, component=0: F.struct(F.lit("R").alias("segment"), F.lit(field).alias("field"), F.lit(component).alias("component"), F.lit(0).alias("sub"))
+    places = {"testCode": ref(3, 4), "call": ref(4, 1), "number": ref(4, 2), "unit": ref(5), "range": ref(6), "flag": ref(7), "status": ref(9), "completed": ref(13)}
+    parts = F.struct(*[places.get(p, ref(30)).alias(p) for p in ASTM_PARTS])
+    text = "H|\\^&\rO|1|S1\rR|1|^^^VL|DETECTED^|copies/mL|40.00 to 10000000.00|<||F||||20221115084008\rR|2|^^^VL|^\rR|3|^^^VL|DETECTED^|copies/mL|40.00 to 10000000.00|>||F\rR|4|^^^VL|^1009.64|copies/mL||N||F"
+    rows = astm.result_records(messages(spark, text)).withColumns({"parts": parts, "decimal_separator": F.lit("."), "flag": F.lit(None).cast("string")})
+    got = astm.with_parts(rows).orderBy("record_no").select("record_no", "call", "number", "comparator", "lim", "units", "flags", "status", "effective").collect()
+    assert [tuple(r) for r in got] == [
+        (0, "DETECTED", None, "<", "40.00", "copies/mL", [], "F", "2022-11-15T08:40:08Z"), (2, "DETECTED", None, ">", "10000000.00", "copies/mL", [], "F", None),
+        (3, None, "1009.64", None, None, "copies/mL", ["N"], "F", None)]

@@ -5,7 +5,7 @@ from tests.oracle_check import compare, connect
 
 SF = "/root/testdata/sf0.001"
 CHECKED = ["a03_delimited_scan", "b06_retransmission", "b25_frame_sequence", "c09_resolution", "d05_code_to_loinc", "d40_value_sets", "e16_note_attach",
-           "f11_parts_reading", "g13_tabular_reading", "i05_rule_assessment", "j05_bundles", "k06_retry_budget", "l01_counts_by_state", "m02_order_code_mapping"]
+           "f11_parts_reading", "g13_tabular_reading", "g16_cells_to_results", "h12_glob_match", "i04_specimen_pattern", "i05_rule_assessment", "i08_evidence_by_protocol", "j05_bundles", "j05_mixed_bundles", "k06_retry_budget", "l01_counts_by_state", "m02_order_code_mapping", "n03_frame_sessions", "n06_delivery_hand_off"]
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +20,9 @@ def test_query_agrees_with_sql(spark, con, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    from titrate.plans import registry
+
+    assert set(registry.ORACLES) == set(registry.QUERIES)
 
 
 def test_bundles_are_identical_on_rerun(spark):
