@@ -16,61 +16,57 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titrate.llm.common import partitions_for, table, travels
+from titrate.llm.common import partitions_for, per_worker, table, travels
 from titrate.llm.registry import query
 
 CAPACITY = 4096
 END_ID = 2
 GROUP_PIECES = 4096  # pieces in a group on average; memory of a group is at most a few times this many full sequences
 SHORT = 64  # bins with more free places than this are re-cut
-MEMO_WORDS = 400_000  # words whose ids a task remembers before it starts anew
+MEMO_PIECES = 800_000  # pieces whose ids a worker remembers before it starts anew: about 200 MB
 
 
 class WordIds:
-    """Ids of a text as the tokenizer gives them, through a memo of words.
+    """Ids of a text as the tokenizer gives them, through a memo of pieces.
 
-    No token of this kind of tokenizer spans ASCII white space, which its normalizer folds and its splitter drops; so words are encoded apart.
-    Words of printable Latin-1 are lower-cased, split by the tokenizer's own pattern and given to its model piece by piece; any other word, and
-    any that may hold the text of a special token, goes through the whole tokenizer.
+    A text of printable Latin-1 and ASCII white space is lower-cased and cut by the tokenizer's own pattern (spelled out for these characters, whose
+    normal form is their own), and each different piece is given to the tokenizer's model once. Any other text, and any that may hold the text of a
+    special token, is cut at ASCII white space, which no token spans, and its words go through the whole tokenizer. The memo starts anew when full.
     """
 
-    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # fixed value: the splitter of word_bpe_49k.json
+    _LETTERS, _NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+    # Fixed value: the splitter of word_bpe_49k.json, within Latin-1 after lower-casing.
+    PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^ \t-\r{_LETTERS}{_NUMBERS}]+")
+    PLAIN = re.compile("[ -~\t-\r\xa1-\xff]*")
 
-    def __init__(self, path: str, memo_words: int = MEMO_WORDS) -> None:
-        import regex
+    def __init__(self, path: str, memo_pieces: int = MEMO_PIECES) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.pieces = regex.compile(self.PATTERN).findall
-        self.plain = re.compile("[!-~\xa1-\xff]+").fullmatch
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the byte alphabet: others move behind 255 in order
         others = [b for b in range(256) if b not in printable]
         self.bytes = {b: chr(256 + k) for k, b in enumerate(others)}
-        self.limit, self.words, self.known = memo_words, {}, {}
+        self.limit, self.known, self.words = memo_pieces, {}, {}
 
     def piece(self, piece: str) -> bytes:
-        found = self.known.get(piece)
-        if found is None:
-            tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.bytes))
-            found = self.known[piece] = np.array([t.id for t in tokens], dtype="<u4").tobytes()
+        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.bytes))
+        found = self.known[piece] = np.array([t.id for t in tokens], dtype="<u4").tobytes()
         return found
 
     def word(self, word: bytes) -> bytes:
-        text = word.decode()
-        if self.plain(text) and "<|" not in text:
-            found = b"".join([self.piece(p) for p in self.pieces(text.lower())])
-        else:
-            found = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        self.words[word] = found
+        found = self.words[word] = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
         return found
 
     def ids(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if not text:
             return b""
-        if len(self.words) > self.limit:
-            self.words, self.known = {}, {}
+        if len(self.known) + len(self.words) > self.limit:
+            self.known, self.words = {}, {}
+        if self.PLAIN.fullmatch(text) and "<|" not in text:
+            get, piece = self.known.get, self.piece
+            return b"".join([get(p) or piece(p) for p in self.PIECES.findall(text.lower())])
         get, word = self.words.get, self.word
         return b"".join([get(w) or word(w) for w in text.encode().split()])
 
@@ -131,7 +127,7 @@ def _cut(path: str, end_id: int, capacity: int):
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents to pieces of at most one sequence each; a batch gives several batches, so long texts stay small."""
-        words = WordIds(path)
+        words = per_worker(f"word ids {path}", lambda: WordIds(path))
         names = ["uid", "doc_id", "start", "doc_tokens", "ids"]
         for batch in batches:
             rows: list[tuple] = []
