@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titrate.llm.common import keep_columns, table, travels, written
+from titrate.llm.common import keep_columns, settled, table, travels, written
 from titrate.llm.registry import query
 
 SHINGLE_WORDS = 4
@@ -242,7 +242,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                    .select("uid", "id", printed("body").alias("print")), "prints")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("uid"))).alias("first")
     nodes = rows.groupBy("print").agg(first)
-    keyed = nodes.select("print").mapInArrow(_keys, "key bigint, print bigint")
+    # A fingerprint has over a hundred keys: they are made in as many tasks as the keys' own shuffle has, however few bytes the fingerprints take.
+    spread = nodes.select("print").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "print")
+    keyed = spread.mapInArrow(_keys, "key bigint, print bigint")
     dealt = keyed.repartition(F.col("key")).sortWithinPartitions("key", "print")
     stars = components(dealt.mapInArrow(_links(max_bits), "u bigint, v bigint"))
     rooted = nodes.join(stars, nodes["print"] == stars["u"], "left").select("print", "first", F.coalesce("v", "print").alias("root"))
@@ -260,6 +262,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each component stays, the one with the smallest id."""
+    docs = settled(docs)
     kept = near_duplicates(docs).where("kept").select(F.col("uid").alias("__uid"))
     return keep_columns(docs.withColumn("__uid", F.monotonically_increasing_id()).join(kept, "__uid"), docs)
 
