@@ -105,8 +105,8 @@ def scan(docs: DataFrame, templates: DataFrame, text: str = "text", doc_id: str
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("body"))
     rows = once(rows.where(some), words=words_of(F.col("body"))).drop("body")
     rows = once(rows, shingles=shingles_of(F.col("words"))).drop("words").where(F.size("shingles") > 0)
-    # The few texts that may hold a template, cut once for all classes.
-    rows = written(rows, "shingles")
+    # The few texts that may hold a template, cut once for all classes, and dealt out anew: their windows are much work for few bytes.
+    rows = written(rows, "shingles").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     kinds = F.array(*[F.struct(F.lit(c).alias("size_class"), F.lit(b).alias("bands")) for c, b in sorted(classes.items())])
     windows = rows.select("uid", "doc_id", "shingles", F.inline(kinds)).select(
         "*", F.explode(F.sequence(F.lit(0), F.size("shingles") - 1, F.col("size_class"))).alias("at")).select(
