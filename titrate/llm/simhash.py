@@ -243,7 +243,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("uid"))).alias("first")
     nodes = rows.groupBy("print").agg(first)
     # A fingerprint has over a hundred keys: they are made in as many tasks as the keys' own shuffle has, however few bytes the fingerprints take.
-    spread = nodes.select("print").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "print")
+    spread = nodes.select("print").repartition(
+        int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("print"))
     keyed = spread.mapInArrow(_keys, "key bigint, print bigint")
     dealt = keyed.repartition(F.col("key")).sortWithinPartitions("key", "print")
     stars = components(dealt.mapInArrow(_links(max_bits), "u bigint, v bigint"))
