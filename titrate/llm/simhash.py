@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from titrate.llm.common import keep_columns, settled, table, travels, written
+from titrate.llm.near_copies import near_copies
 from titrate.llm.registry import query
 
 SHINGLE_WORDS = 4
@@ -262,9 +263,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each component stays, the one with the smallest id."""
+    """Pipeline stage: of documents linked by a five-word Jaccard similarity of 0.8 or more, one of each component stays, the one with the smallest id."""
     docs = settled(docs)
-    kept = near_duplicates(docs).where("kept").select(F.col("uid").alias("__uid"))
+    kept = near_copies(docs).where("kept").select(F.col("uid").alias("__uid"))
     return keep_columns(docs.withColumn("__uid", F.monotonically_increasing_id()).join(kept, "__uid"), docs)
 
 
