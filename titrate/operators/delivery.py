@@ -19,7 +19,7 @@ DISMISSED_DAYS = 90
 STATES = ("RECEIVED", "PENDING", "RETRYING", "DELIVERED", "DMQ")
 DISPATCHABLE = ("RECEIVED", "PENDING", "RETRYING")
 INCOMPLETE = "INCOMPLETE_TRANSMISSION"
-# Fixed value: limits of one bulk retry.
+# Defaults: limits of one bulk retry.
 MAX_BULK_IDS, MAX_BULK_ROWS = 500, 1000
 # File retry policy.
 FILE_BASE_MS, FILE_MAX_MS = 1_000, 600_000
@@ -187,17 +187,28 @@ def retry_requests(requests: DataFrame, deliveries: DataFrame, now: Column) -> D
                        reason.isNull().alias("retried"), reason.alias("reason"))
 
 
-def bulk_retry(deliveries: DataFrame, reason: str | None, connection: str | None, now: Column) -> DataFrame:
-    """All undismissed dead messages of a reason and connection, newest first, as one bounded request."""
+def bulk_retry(deliveries: DataFrame, reason: str | None, connection: str | None, now: Column, most: int = MAX_BULK_ROWS) -> DataFrame:
+    """Undismissed dead messages of a reason and connection as one request. The newest ``most`` that can be retried are;
+    what cannot be takes no place of theirs. ``skipped`` counts those, ``remaining`` what a further request will reach."""
     rows = deliveries.filter("state = 'DMQ' AND dismissed_at IS NULL")
     if reason is not None:
         rows = rows.filter(F.col("failure_reason") == reason)
     if connection is not None:
         rows = rows.filter(F.col("connection_id") == connection)
-    chosen = rows.orderBy(F.desc("received_at"), "delivery_id").limit(MAX_BULK_ROWS)
-    outcome = retry_requests(chosen.select("delivery_id"), deliveries, now)
-    return outcome.agg(F.count("*").alias("requested"), F.count_if("retried").alias("retried"),
-                       F.count_if(~F.col("retried")).alias("skipped"))
+    able = ~F.coalesce(F.col("failure_reason") == INCOMPLETE, F.lit(False)) & ~F.coalesce(F.col("lease_until") > now, F.lit(False))
+    chosen = rows.filter(able).orderBy(F.desc("received_at"), "delivery_id").limit(most)
+    taken = retry_requests(chosen.select("delivery_id"), deliveries, now).agg(F.count_if("retried").alias("retried"))
+    matching = rows.agg(F.count_if(able).alias("_able"), F.count_if(~able).alias("skipped"))
+    return matching.crossJoin(taken).select(
+        (F.col("retried") + F.col("skipped")).alias("requested"), "retried", "skipped", (F.col("_able") - F.col("retried")).alias("remaining"))
+
+
+def bulk_retry_ids(ids: list[str], deliveries: DataFrame, now: Column, most: int = MAX_BULK_IDS) -> DataFrame:
+    """The outcome of each listed delivery, as K08 gives it. A longer list is refused as a whole."""
+    if len(ids) > most:
+        raise ValueError(f"{len(ids)} ids are more than the {most} of one request")
+    requests = deliveries.sparkSession.createDataFrame([(i,) for i in ids], "delivery_id string")
+    return retry_requests(requests, deliveries, now)
 
 
 def dismissals(requests: DataFrame, deliveries: DataFrame) -> DataFrame:

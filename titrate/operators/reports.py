@@ -39,9 +39,11 @@ def queue_health(deliveries: DataFrame, now: Column, recovered_from_corruption:
     return queue_stats(deliveries, now).withColumn("status", F.lit(verdict))
 
 
-def page(rows: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:
-    """A bounded page of an ordered listing: each partition keeps limit + offset rows before the merge."""
-    return rows.orderBy(*order).offset(offset).limit(min(limit, MAX_PAGE))
+def page(rows: DataFrame, order: list, limit: int, offset: int = 0, most: int = MAX_PAGE) -> DataFrame:
+    """A bounded page of an ordered listing: each partition keeps limit + offset rows before the merge. Larger pages are refused."""
+    if limit > most:
+        raise ValueError(f"a page of {limit} rows is larger than {most}")
+    return rows.orderBy(*order).offset(offset).limit(limit)
 
 
 def listing(deliveries: DataFrame, state: str | None = None, connection: str | None = None, reason: str | None = None,
