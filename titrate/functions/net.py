@@ -74,19 +74,33 @@ def _ipv6_text(groups: Column) -> Column:
     return F.when(mapped, ipv4_text(mapped_v4)).otherwise(v6)
 
 
+def address_bits(address: Column) -> Column:
+    """The 32 or 128 bits of an address in its canonical spelling (see ``canonical_ip``) as a text of 0 and 1."""
+    return let(address, _address_bits)
+
+
+def _address_bits(address: Column) -> Column:
+    v4 = let(ipv4_number(address), lambda n: F.when(n.isNotNull(), F.lpad(F.bin(n), 32, "0")))
+    v6 = let(_ipv6_groups(address), lambda groups: F.when(
+        groups.isNotNull(), F.array_join(F.transform(groups, lambda g: F.lpad(F.bin(g.cast("long")), 16, "0")), "")))
+    return F.coalesce(v4, v6)
+
+
 def cidr_range(entry: Column) -> Column:
-    """(low, high, bits) of an IPv4 address or CIDR range; NULL for an entry that is neither."""
+    """(family, low, high, bits) of an IPv4 or IPv6 address or CIDR range, bounds as texts of 0 and 1; NULL for an entry that is neither."""
 
     def of_pieces(p: Column) -> Column:
-        declared = F.when(F.size(p) == 1, F.lit(32)).otherwise(clip(F.get(p, F.lit(1))).try_cast("int"))
-        return F.struct(ipv4_number(clip(F.get(p, F.lit(0)))).alias("base"), declared.alias("bits"))
+        declared = F.when(F.size(p) > 1, clip(F.get(p, F.lit(1))).try_cast("int"))
+        return F.struct(address_bits(canonical_ip(F.get(p, F.lit(0)))).alias("base"), declared.alias("declared"), (F.size(p) == 1).alias("single"))
 
     def bounds(b: Column) -> Column:
-        size = F.pow(F.lit(2.0), F.lit(32) - b["bits"]).cast("long")
-        low = b["base"] - F.pmod(b["base"], size)
+        width = F.length(b["base"])
+        bits = F.when(b["single"], width).otherwise(b["declared"])
+        prefix = F.substring(b["base"], F.lit(1), bits)
         return F.when(
-            b["base"].isNotNull() & b["bits"].between(0, 32),
-            F.struct(low.alias("low"), (low + size - 1).alias("high"), b["bits"].alias("bits")),
+            b["base"].isNotNull() & bits.between(0, width),
+            F.struct(F.when(width == 32, 4).otherwise(6).alias("family"), F.rpad(prefix, width, F.lit("0")).alias("low"),
+                     F.rpad(prefix, width, F.lit("1")).alias("high"), bits.alias("bits")),
         )
 
     return let(let(F.split(clip(entry), "/", 2), of_pieces), bounds)

@@ -192,30 +192,28 @@ def allowed_ranges(entries: DataFrame) -> DataFrame:
     from ..functions.net import cidr_range
 
     return entries.select("entry", F.explode_outer(F.array(cidr_range(F.col("entry")))).alias("r")).select(
-        "entry", "r.low", "r.high", "r.bits")
+        "entry", "r.family", "r.low", "r.high", "r.bits")
 
 
 def range_keys(ranges: DataFrame) -> DataFrame:
-    """Ranges as (bits, prefix) keys, so that membership is an equi join."""
-    size = F.pow(F.lit(2.0), F.lit(32) - F.col("bits"))
+    """Ranges as (family, bits, prefix) keys, so that membership is an equi join."""
     return ranges.filter("low IS NOT NULL").select(
-        "bits", F.floor(F.col("low") / size).cast("long").alias("prefix")).distinct()
+        "family", "bits", F.substring("low", F.lit(1), F.col("bits")).alias("prefix")).distinct()
 
 
 def admitted(connections: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Which peers lie in an allowed range. Each address is looked up under every prefix length in use
-    (33 at most), which keeps the join an equi join however many ranges there are."""
-    from ..functions.net import ipv4_number
+    """Which peers lie in an allowed range. Each address is looked up under every prefix length in use by its
+    family (33 at most for IPv4, 129 for IPv6), which keeps the join an equi join however many ranges there are."""
+    from ..functions.net import address_bits
 
     keys = range_keys(ranges)
-    prefixes = let(
-        ipv4_number(canonical_ip(F.col("peer"))),
-        lambda n: F.transform(F.sequence(F.lit(0), F.lit(32)), lambda b: F.struct(
-            b.alias("bits"), F.floor(n / F.pow(F.lit(2.0), F.lit(32) - b)).cast("long").alias("prefix"))),
-    )
-    peers = connections.select("peer").distinct()
-    probes = peers.select("peer", F.explode_outer(prefixes).alias("p")).select("peer", "p.bits", "p.prefix")
-    inside = probes.join(keys, ["bits", "prefix"], "left_semi").select("peer").distinct()
+    # An IPv6 peer may carry a scope such as %2, which no range has.
+    literal = canonical_ip(F.regexp_replace("peer", "%.*", ""))
+    lengths = keys.select("family", "bits").distinct()
+    peers = connections.select("peer").distinct().select("peer", literal.alias("_ip")).withColumn("_b", address_bits(F.col("_ip")))
+    sized = peers.filter("_b IS NOT NULL").withColumn("family", F.when(F.length("_b") == 32, 4).otherwise(6))
+    probes = sized.join(F.broadcast(lengths), "family").select("peer", "family", "bits", F.substring("_b", F.lit(1), F.col("bits")).alias("prefix"))
+    inside = probes.join(keys, ["family", "bits", "prefix"], "left_semi").select("peer").distinct()
     return connections.join(inside.withColumn("_in", F.lit(True)), "peer", "left").withColumn(
         "admitted", F.coalesce("_in", F.lit(False))).drop("_in")
 
