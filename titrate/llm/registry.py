@@ -12,7 +12,8 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 MODULES = (
-    "exact_topk", "packing", "quality", "pii", "mixing", "url_filter", "token_counts", "exact_dedup", "simhash", "licenses", "pipeline",
+    "exact_topk", "packing", "quality", "pii", "mixing", "url_filter", "token_counts", "exact_dedup", "simhash", "licenses",
+    "minmax", "pipeline",
 )
 
 
