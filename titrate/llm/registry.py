@@ -13,7 +13,7 @@ ORACLES: dict[str, str] = {}
 
 MODULES = (
     "exact_topk", "packing", "quality", "pii", "mixing", "url_filter", "token_counts", "exact_dedup", "simhash", "licenses",
-    "minmax", "pipeline",
+    "minmax", "collocations", "hard_negatives", "pipeline",
 )
 
 
