@@ -17,7 +17,7 @@ def pieces(text):
 def brute_force(data, least, longest, top):
     n, f = Counter(), defaultdict(Counter)
     for row in data:
-        lang = row[2] or "und"
+        lang = "und" if row[2] is None else row[2]
         for w in pieces(row[1]):
             n[lang] += len(w)
             for m in range(1, longest + 1):
