@@ -78,7 +78,7 @@ def test_intervals_count_phrases():
     r = np.random.default_rng(1)
     tokens = np.r_[r.integers(0, 6, 3000), 0].astype(np.int32)
     ids = np.array([0, 50, 20, 0, 40, 10])
-    index = co.Index.of(tokens, ids, 4)
+    index = co.Index.of(tokens, ids, 3)
     text = ids[tokens].tolist()
     low, n = index.words()
     state = {(int(w),): (int(a), int(a), int(c)) for w, a, c in zip(index.symbols, low, n, strict=True)}

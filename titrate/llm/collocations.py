@@ -1,8 +1,8 @@
 """Operator 12: phrase collocations from an FM-index per shard.
 
-A shard is about ``SHARD_WORDS`` words of one language, cut at ends of pieces. Its words are numbered in byte order of first use, words that are too
-rare over the whole language become breaks, and two Burrows-Wheeler transforms are kept: of the numbers and of the numbers reversed (sorted by at
-least as many words as a phrase may have, which is all that intervals of phrases need). A phrase is a pair of intervals of equal width, its count.
+A shard is about ``SHARD_WORDS`` words of one language, whole texts. Its words are numbered in byte order of first use, words that are too
+rare over the whole language become breaks, and two Burrows-Wheeler transforms are kept: of the numbers and of the numbers reversed (sorted by one
+word less than the longest phrase has, which is all that intervals of phrases to be extended need). A phrase is a pair of intervals of equal width, its count.
 
 Phrases grow by one word in each round, to the right in even rounds and to the left in odd ones, so each is reached along one path. All extensions of a
 phrase in a shard and their counts are the symbols under one of its intervals. Counts are summed over shards; only phrases that reach ``MIN_COUNT``
@@ -30,16 +30,16 @@ MAX_WORDS = 5
 TOP = 2000
 ABSORBED = 100  # percent of a phrase's count at which a longer one absorbs it
 SHARD_WORDS = 1 << 20
-_BREAKS = bytes(10 if chr(b) in ".,;:!?\n\x0b\x0c\r" else b for b in range(256))
+BREAK = b"."  # stands for every break: no word holds a full stop
+_PLAIN = bytes(10 if chr(b) in ".,;:!?\n\x0b\x0c\r" else b for b in range(256)).lower()
 
 RIGHT, LEFT = "right", "left"
 
 
-def pieces(text: bytes | None) -> Iterator[list[bytes]]:
-    """Words of each piece that has any, A-Z lower-cased."""
-    for piece in (text or b"").lower().translate(_BREAKS).split(b"\n"):
-        if words := piece.split():  # spaces and tabs are the only white space left in ASCII
-            yield words
+def words_and_breaks(text: bytes | None) -> list[bytes]:
+    """A-Z lower-cased words in order, with ``BREAK`` between pieces and at the end."""
+    # Once breaks are set apart, spaces and tabs are the only white space left in ASCII.
+    return ((text or b"").translate(_PLAIN) + b"\n").replace(b"\n", b" . ").split()
 
 
 def _shards(shard_words: int):
@@ -63,23 +63,17 @@ def _shards(shard_words: int):
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                run: list[int] = []
-                for words in pieces(text.as_py()):
-                    if lang not in waiting:
-                        names: dict = defaultdict()
-                        names.default_factory = names.__len__
-                        names[b""]  # the break
-                        waiting[lang] = names, []
-                    number = waiting[lang][0].__getitem__
-                    run.extend(map(number, words))
-                    run.append(0)
-                    sizes[lang] += len(words)
-                    if sizes[lang] >= shard_words:
-                        waiting[lang][1].append(np.array(run, dtype=np.int32))
-                        run = []
-                        yield shard(lang)
-                if run:
-                    waiting[lang][1].append(np.array(run, dtype=np.int32))
+                found = words_and_breaks(text.as_py())
+                if lang not in waiting:
+                    names: dict = defaultdict()
+                    names.default_factory = names.__len__
+                    names[BREAK]
+                    waiting[lang] = names, []
+                names, runs = waiting[lang]
+                runs.append(np.fromiter(map(names.__getitem__, found), np.int32, len(found)))
+                sizes[lang] += len(found)
+                if sizes[lang] >= shard_words:
+                    yield shard(lang)
                 while sum(sizes.values()) >= 2 * shard_words:  # many languages at once: the largest goes first
                     yield shard(max(sizes, key=sizes.__getitem__))
         for lang in list(waiting):
@@ -92,10 +86,15 @@ def transform(text: np.ndarray, depth: int) -> np.ndarray:
     """The symbol before each suffix, suffixes sorted by ``depth`` symbols or more; the text is a ring that holds a break."""
     rank, width = text.astype(np.int64), 1
     while True:
-        key = rank * (int(rank.max()) + 1) + np.roll(rank, -width)
-        width *= 2
+        # As many neighbours as 63 bits hold at once; ranks take their place where that is too few. The order of ties has no meaning.
+        bits = int(rank.max()).bit_length()
+        times = min(-(-depth // width), max(2, 63 // max(1, bits)))
+        key = rank
+        for k in range(1, times):
+            key = (key << bits) | np.roll(rank, -k * width)
+        width *= times
         if width >= depth:
-            return np.roll(text, 1)[np.argsort(key, kind="stable")]
+            return np.roll(text, 1)[np.argsort(key)]
         rank = np.unique(key, return_inverse=True)[1].reshape(-1).astype(np.int64)
 
 
@@ -108,7 +107,7 @@ class Index:
 
     def __init__(self, symbols: np.ndarray, forward: np.ndarray, reverse: np.ndarray):
         self.symbols = symbols
-        self.sides = {LEFT: forward.astype(np.int64), RIGHT: reverse.astype(np.int64)}
+        self.sides = {LEFT: forward, RIGHT: reverse}
         self.starts = np.r_[0, np.cumsum(np.bincount(self.sides[LEFT], minlength=len(symbols) + 1))]
         self._earlier: dict[str, np.ndarray] = {}
 
@@ -120,13 +119,13 @@ class Index:
         text = number[tokens]
         text = text[(text > 0) | (np.r_[1, text[:-1]] > 0)]  # one break is as good as many
         text = np.r_[0, text]
-        return cls(symbols, transform(text, depth), transform(text[::-1], depth))
+        return cls(symbols, *(smallest(transform(x, depth), len(symbols) + 1) for x in (text, text[::-1])))
 
     def earlier(self, side: str) -> np.ndarray:
         """For each place of the transform: how often its symbol occurs before it."""
         if side not in self._earlier:
             symbols = self.sides[side]
-            order = np.argsort(symbols, kind="stable")
+            order = np.argsort(symbols, kind="stable")  # a radix sort for 16 bits
             out = np.empty(len(symbols), dtype=np.int64)
             out[order] = np.arange(len(symbols)) - self.starts[symbols[order]]
             self._earlier[side] = out
@@ -136,20 +135,30 @@ class Index:
         """(first place, count) of each word, the same in both directions."""
         return self.starts[1:-1], np.diff(self.starts)[1:]
 
+    def _under(self, side: str, low: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, phrase's position and symbol in one number) of everything under the intervals."""
+        ends = np.cumsum(count)
+        places = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(low - (ends - count), count)
+        return places, np.repeat(np.arange(len(low)) * (len(self.symbols) + 1), count) + self.sides[side][places]
+
+    def extensions(self, side: str, low: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(phrase's position, symbol, count) of every extension of the phrases by a word on this side."""
+        key, times = np.unique(self._under(side, low, count)[1], return_counts=True)
+        owner, symbol = np.divmod(key, len(self.symbols) + 1)
+        word = symbol > 0
+        return owner[word], symbol[word], times[word]
+
     def extend(self, side: str, low: np.ndarray, other: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
         """(phrase's position, symbol, low, other, count) of every extension of the phrases by a word on this side.
 
         ``low`` are the phrases' first places in this side's transform, ``other`` those in the opposite one.
         """
-        ends = np.cumsum(count)
-        total = int(ends[-1]) if len(ends) else 0
-        places = np.arange(total) + np.repeat(low - (ends - count), count)
-        base = len(self.symbols) + 1
-        key, first, times = np.unique(np.repeat(np.arange(len(low)), count) * base + self.sides[side][places], return_index=True, return_counts=True)
-        owner, symbol = key // base, key % base
+        places, under = self._under(side, low, count)
+        key, first, times = np.unique(under, return_index=True, return_counts=True)
+        owner, symbol = np.divmod(key, len(self.symbols) + 1)
         before = np.cumsum(times) - times
-        stepped = self.starts[symbol] + self.earlier(side)[places[first]] if total else key
-        across = other[owner] + before - (ends - count)[owner]
+        stepped = self.starts[symbol] + self.earlier(side)[places[first]]
+        across = other[owner] + before - (np.cumsum(count) - count)[owner]
         word = symbol > 0
         return owner[word], symbol[word], stepped[word], across[word], times[word]
 
@@ -168,7 +177,7 @@ def _build(depth: int):
         ids = np.zeros(int(tokens.max()) + 1, dtype=np.int64)
         ids[known.column("number").to_numpy()] = known.column("id").to_numpy()
         made = Index.of(tokens, ids, depth)
-        forward, reverse = (smallest(made.sides[s], len(made.symbols) + 1).tobytes() for s in (LEFT, RIGHT))
+        forward, reverse = (made.sides[s].tobytes() for s in (LEFT, RIGHT))
         return pa.table({"shard": pa.array([row["shard"]], pa.int64()), "lang": pa.array([row["lang"]]), "symbols": pa.array([made.symbols.tobytes()], pa.binary()),
                          "forward": pa.array([forward], pa.binary()), "reverse": pa.array([reverse], pa.binary())})
 
@@ -185,8 +194,7 @@ def _rows(shard: int, index: Index, phrase: np.ndarray, low: np.ndarray, rlow: n
     """The phrases' intervals and the counts of their extensions on this side."""
     parts = [(phrase, np.full(len(phrase), -1), low, rlow, n)]
     if side:
-        own, opposite = (rlow, low) if side == RIGHT else (low, rlow)
-        owner, symbol, _, _, times = index.extend(side, own, opposite, n)
+        owner, symbol, times = index.extensions(side, rlow if side == RIGHT else low, n)
         nothing = np.zeros(len(owner), dtype=np.int64)
         parts.append((phrase[owner], index.symbols[symbol - 1], nothing, nothing, times))
     made = [np.concatenate(c).astype(np.int64) for c in zip(*parts, strict=True)]
@@ -239,7 +247,7 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int =
         (F.monotonically_increasing_id() + 1).alias("id"), "lang", "word", "a"), "vocabulary")
     known = listed.join(vocabulary.select("id", "lang", "word"), ["lang", "word"]).select(F.col("shard").alias("home"), "number", "id")
     indexes = written(shards.select("shard", "lang", "tokens").groupBy("shard").cogroup(known.groupBy("home")).applyInArrow(
-        _build(max_words), _INDEX), "index")
+        _build(max(1, max_words - 1)), _INDEX), "index")
     spelled = vocabulary.select(F.col("id").alias("word"), F.col("word").cast("string").alias("spelled"))
     level = vocabulary.select("id", "lang", F.array(F.col("word").cast("string")).alias("words"), "a")
     phrases = level
