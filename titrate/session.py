@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import tempfile
 
 from pyspark.errors import AnalysisException
@@ -43,11 +44,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if named is None:
         if not spark.sparkContext.master.split("[")[0] == "local":
             raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
-        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", named)
+        if not os.path.isdir(_scratch.get(spark.sparkContext.applicationId, "")):
+            _scratch[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        named = _scratch[spark.sparkContext.applicationId]
     return named
 
 
+_scratch: dict[str, str] = {}  # application -> folder; the setting itself cannot be changed while a session runs
 _written: dict[tuple[str, str], str] = {}
 
 
