@@ -1,7 +1,9 @@
 """Captured wire frames -> messages.
 
-A session is one transmission, bounded by the frame and message limits (4 096 frames, 16 Mi characters), so its
-frames are folded as one ordered array per session; frames beyond the limit mark the session instead of growing it.
+A session is one transmission of at most 4 096 accepted frames; refused and repeated frames do not count. Whether a frame
+is accepted depends only on the number expected before it, so a session is cut into chunks of its frames, each chunk is
+summarised for the eight numbers that may be expected at its start, and the summaries are put in order. Only accepted
+frames, up to the limit, meet in one array; frames beyond it mark the session instead of growing it.
 """
 
 from __future__ import annotations
@@ -9,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import let
+from ..functions.text import computed_once, let
 
 MAX_FRAMES = 4096
+CHUNK = 256  # frame positions folded together
 MAX_FRAME_CHARS = {"LIS01_A": 64_000, "E1381_95": 240}
 ETX, ETB = 0x03, 0x17
 # Fixed value: characters that may not appear inside frame text.
@@ -55,38 +58,65 @@ def frame_issue(version: str = "LIS01_A", exact_case: bool = False) -> Column:
     )
 
 
-def sequenced(frames: DataFrame, issue: Column) -> DataFrame:
+def sequenced(frames: DataFrame, issue: Column, max_frames: int = MAX_FRAMES, chunk: int = CHUNK) -> DataFrame:
     """Per session, the accepted frames in order. A refused frame does not move the expected number; an exact
-    repeat of the previous frame is accepted and ignored."""
-    # One frame more than the limit is kept, so that a longer session can be told; the others never reach its array.
-    place = F.row_number().over(Window.partitionBy("session_id").orderBy("seq"))
-    checked = frames.withColumn("_bad", issue.isNotNull()).withColumn("_place", place).filter(F.col("_place") <= MAX_FRAMES + 1)
-    frame = F.struct("seq", "frame_no", "text", "terminator", "checksum", "_bad")
-    sessions = checked.groupBy("session_id").agg(F.array_sort(F.collect_list(frame)).alias("_f"))
-    sessions = sessions.withColumn("over_limit", F.size("_f") > MAX_FRAMES).withColumn("_f", F.slice("_f", 1, MAX_FRAMES))
-    start = F.struct(
-        F.lit(1).alias("expected"), F.lit(None).cast("string").alias("previous"), F.lit(0).alias("refused"),
-        F.lit(0).alias("repeated"), F.array().cast("array<int>").alias("kept"),
-    )
+    repeat of the previous frame is accepted and ignored.
+
+    ``seq`` numbers a session's frames; each number is used once. ``n_accepted`` counts all accepted frames, ``accepted``
+    holds the first ``max_frames`` of them, and ``over_limit`` tells whether there are more.
+    """
+    signature = F.sha2(F.concat_ws("\u0001", F.col("frame_no").cast("string"), "text", "terminator", "checksum"), 256)
+    frame = F.struct("seq", "frame_no", "text", "terminator", "checksum", "_bad", signature.alias("_signature"))
+    chunks = frames.withColumn("_bad", issue.isNotNull()).groupBy("session_id", F.floor(F.col("seq") / chunk).alias("_chunk")).agg(
+        F.array_sort(F.collect_list(frame)).alias("_f"))
+
+    def state(expected: Column, taken: Column, last: Column) -> Column:
+        return F.struct(expected.cast("int").alias("expected"), taken.cast("int").alias("taken"), last.cast("string").alias("last"))
+
+    def move(s: Column, f: Column) -> Column:
+        taken = state(F.pmod(s["expected"] + 1, F.lit(8)), s["taken"] + 1, f["_signature"])
+        return F.when(s["expected"] == f["frame_no"], taken).otherwise(s)
+
+    every = F.array(*[state(F.lit(k), F.lit(0), F.lit(None)) for k in range(8)])
+    ends = F.aggregate("_f", every, lambda acc, f: F.when(f["_bad"], acc).otherwise(F.transform(acc, lambda s: move(s, f))))
+    summaries = chunks.select("session_id", F.struct("_chunk", ends.alias("ends")).alias("_c")).groupBy("session_id").agg(
+        F.array_sort(F.collect_list("_c")).alias("_all"))
+
+    def follow(acc: Column, c: Column) -> Column:
+        at, here = acc["at"], F.get(c["ends"], acc["at"]["expected"])
+        after = state(here["expected"], at["taken"] + here["taken"], F.coalesce(here["last"], at["last"]))
+        begin = F.struct(c["_chunk"].alias("_chunk"), at.alias("_at"))
+        return F.struct(after.alias("at"), F.concat(acc["begins"], F.array(begin)).alias("begins"))
+
+    first = F.struct(state(F.lit(1), F.lit(0), F.lit(None)).alias("at"), F.array().cast(
+        "array<struct<_chunk:bigint,_at:struct<expected:int,taken:int,last:string>>>").alias("begins"))
+    begins = summaries.select("session_id", F.inline(F.aggregate("_all", first, follow, lambda acc: acc["begins"])))
 
     def step(acc: Column, f: Column) -> Column:
-        signature = F.concat_ws("\u0001", f["frame_no"].cast("string"), f["text"], f["terminator"], f["checksum"])
         repeat = ~f["_bad"] & (f["frame_no"] == F.pmod(acc["expected"] + 7, F.lit(8))) & F.coalesce(
-            acc["previous"] == signature, F.lit(False))
-        accept = ~f["_bad"] & ~repeat & (f["frame_no"] == acc["expected"])
+            acc["last"] == f["_signature"], F.lit(False))
+        accept = F.coalesce(~f["_bad"] & (f["frame_no"] == acc["expected"]), F.lit(False))
         return F.struct(
-            F.when(accept, F.pmod(acc["expected"] + 1, F.lit(8))).otherwise(acc["expected"]).alias("expected"),
-            F.when(accept, signature).otherwise(acc["previous"]).alias("previous"),
-            (acc["refused"] + F.when(accept | repeat, 0).otherwise(1)).alias("refused"),
+            F.when(accept, F.pmod(acc["expected"] + 1, F.lit(8))).otherwise(acc["expected"]).cast("int").alias("expected"),
+            F.when(accept, f["_signature"]).otherwise(acc["last"]).alias("last"),
             (acc["repeated"] + F.when(repeat, 1).otherwise(0)).alias("repeated"),
-            F.when(accept, F.concat(acc["kept"], F.array(f["seq"]))).otherwise(acc["kept"]).alias("kept"),
-        )
-
-    folded = sessions.withColumn("_s", F.aggregate("_f", start, step))
-    return folded.select(
-        "session_id", F.filter("_f", lambda f: F.array_contains(F.col("_s.kept"), f["seq"])).alias("accepted"),
-        F.col("_s.refused").alias("refused"), F.col("_s.repeated").alias("repeated"), "over_limit",
-    )
+            F.concat(acc["marks"], F.array(accept)).alias("marks"))
+
+    start = F.struct(F.col("_at.expected").alias("expected"), F.col("_at.last").alias("last"), F.lit(0).alias("repeated"),
+                     F.array().cast("array<boolean>").alias("marks"))
+    folded = computed_once(chunks.join(begins, ["session_id", "_chunk"]), {"_s": F.aggregate("_f", start, step)})
+    taken = F.filter("_f", lambda f, k: F.get(F.col("_s.marks"), k))
+    room = F.greatest(F.lit(0), F.lit(max_frames) - F.col("_at.taken"))
+    whole = F.transform(taken, lambda f: F.struct(*[f[c].alias(c) for c in ("seq", "frame_no", "text", "terminator", "checksum")]))
+    parts = folded.select(
+        "session_id", "_chunk", F.slice(whole, F.lit(1), room).alias("kept"), F.col("_s.repeated").alias("repeated"),
+        F.size("_f").alias("n"), F.size(F.filter(F.col("_s.marks"), lambda m: m)).alias("taken"))
+    some = F.when(F.size("kept") > 0, F.struct("_chunk", "kept"))
+    total = F.sum("taken").cast("int")
+    return parts.groupBy("session_id").agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(some)), lambda p: p["kept"])).alias("accepted"),
+        F.sum(F.col("n") - F.col("taken") - F.col("repeated")).cast("int").alias("refused"),
+        F.sum("repeated").cast("int").alias("repeated"), total.alias("n_accepted"), (total > max_frames).alias("over_limit"))
 
 
 def assembled(sessions: DataFrame, ended: DataFrame) -> DataFrame:
@@ -98,7 +128,7 @@ def assembled(sessions: DataFrame, ended: DataFrame) -> DataFrame:
     rows = sessions.join(closed, "session_id", "left")
     return rows.select(
         "session_id", F.array_join(F.transform("accepted", lambda f: f["text"]), "").alias("raw_text"),
-        F.size("accepted").alias("n_frames"), "refused",
+        F.col("n_accepted").alias("n_frames"), "refused",
         F.when(whole & (F.size("accepted") > 0), "COMPLETE").otherwise("INCOMPLETE_TRANSMISSION").alias("state"),
     )
 
