@@ -46,6 +46,26 @@ def test_few_candidates_and_empty_tables(spark):
     assert exact_topk.top_k(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+@pytest.mark.parametrize("largest", [1e6, 1e7, 1e9, 1e15])
+def test_large_components_and_repeated_ids(spark, largest):
+    """Sums beyond doubles, and sums that leave 64 bits on the way to a result within them."""
+    r = random.Random(int(largest))
+    rows = [(k % 150, [r.choice((0.0, 1.0, -1.0, largest, -largest)) if k % 50 else float(k % 3) / 256 for _ in range(6)], "", "", 0) for k in range(200)]
+    rows += [(0, [1.0, 1.0], "", "", 0), (1, [largest, 0.0], "", "", 0), (2, [2 * largest, 0.0], "", "", 0), (0, [largest / 4, 1.0], "", "", 0)]
+    if largest > 1e8:
+        rows = [x for x in rows if x[0] % 50 or max(map(abs, x[1])) <= 1]
+    if largest > 1e12:
+        rows = [x for x in rows if len(x[1]) == 6]
+    found = exact_topk.top_k(spark.createDataFrame(rows, SCHEMA).coalesce(1), block_rows=32)
+    assert sorted(tuple(x) for x in found.collect()) == brute(rows)
+
+
+def test_components_beyond_the_bound_are_refused():
+    assert exact_topk.components_of([2.0**53], 256).tolist() == [1 << 61]
+    with pytest.raises(ValueError):
+        exact_topk.components_of([2.0**54], 256)
+
+
 @pytest.mark.parametrize("spread", [3, 300, 1 << 20, 1 << 27])
 def test_bounds_hold(spread):
     r = np.random.default_rng(spread)

@@ -26,17 +26,28 @@ SCALE = 256
 SLICES = 64
 BLOCK_ROWS = 4096
 QUERY_ROWS = 256
-_LARGEST = 1 << 27  # scaled components are held within this, so that no score of up to 512 of them leaves 64 bits
+LARGEST = 1 << 61  # larger scaled components are refused, so that differences of two stay within 64 bits
+_NONE = np.iinfo(np.int64).min  # stands for no threshold
 
 
 def _exact_type(largest: int, dims: int):
-    """Products are summed in the smallest float type that holds every partial sum exactly, else in 64-bit integers (which wrap, as SQL's may)."""
+    """Products are summed in the smallest type that holds every partial sum exactly: floats, 64-bit integers, or integers without bound."""
     bound = dims * largest * largest
-    return np.float32 if bound < 1 << 24 else np.float64 if bound < 1 << 53 else np.int64
+    return np.float32 if bound < 1 << 24 else np.float64 if bound < 1 << 53 else np.int64 if bound < 1 << 63 else object
+
+
+def _largest(values: np.ndarray) -> int:
+    return max(int(values.max(initial=0)), -int(values.min(initial=0)))
+
+
+def scores_of(vectors: np.ndarray, query_: np.ndarray) -> np.ndarray:
+    if _exact_type(max(_largest(vectors), _largest(query_)), max(1, len(query_))) is object:
+        return vectors.astype(object) @ query_.astype(object)
+    return vectors @ query_
 
 
 def components_of(embedding, scale: int) -> np.ndarray | None:
-    """floor(scale * x) of each component; None when the vector takes no part."""
+    """floor(scale * x) of each component; None when the vector takes no part. Values beyond ``LARGEST`` are refused with an error."""
     if embedding is None:
         return None
     try:
@@ -45,7 +56,10 @@ def components_of(embedding, scale: int) -> np.ndarray | None:
         return None
     if x.ndim != 1 or not np.isfinite(x).all():
         return None
-    return np.clip(np.floor(scale * x), -_LARGEST, _LARGEST).astype(np.int64)
+    x = np.floor(scale * x)
+    if np.abs(x).max(initial=0) > LARGEST:
+        raise ValueError(f"a scaled component is beyond {LARGEST}")
+    return x.astype(np.int64)
 
 
 def approximate(exact: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,7 +75,7 @@ def bounds(queries: np.ndarray, cells: np.ndarray, lower: np.ndarray, upper: np.
     """Lower and upper bounds [queries, vectors] of the scores, from cells alone."""
     dims = np.arange(cells.shape[1])
     low, high = lower[cells, dims], upper[cells, dims]
-    kind = _exact_type(int(max(np.abs(queries).max(initial=0), np.abs(low).max(initial=0), np.abs(high).max(initial=0))), max(1, cells.shape[1]))
+    kind = _exact_type(max(map(_largest, (queries, low, high))), max(1, cells.shape[1]))
     plus, minus = np.maximum(queries, 0).astype(kind), np.minimum(queries, 0).astype(kind)
     low, high = low.astype(kind).T, high.astype(kind).T
     return plus @ low + minus @ high, plus @ high + minus @ low
@@ -120,6 +134,8 @@ def _thresholds(k: int):
                                 _array(x["upper"], np.int64, SLICES, d))
                 own, uids = _array(x["q_uids"], np.int64, m), _array(x["uids"], np.int64, n)
                 keep = min(k + 1, n)  # one more, since the query's own row may be among them
+                if low.dtype == object:  # a threshold held within 64 bits is the same or a weaker one
+                    low = np.clip(low, _NONE + 1, np.iinfo(np.int64).max).astype(np.int64)
                 best = np.argpartition(-low, keep - 1, axis=1)[:, :keep]
                 value = np.take_along_axis(low, best, 1)
                 other = uids[best] != own[:, None]
@@ -134,7 +150,7 @@ def visit(query_: np.ndarray, upper: np.ndarray, exact: np.ndarray, ids: np.ndar
 
     Exact vectors are read in the order of their upper bounds, a few at a time; reading ends when no bound left can enter the k best.
     """
-    can = np.nonzero(allowed & (upper >= threshold))[0]
+    can = np.nonzero(allowed & ((upper >= threshold) | (threshold <= _NONE + 1)))[0]
     order = can[np.argsort(-upper[can], kind="stable")]
     best: list[tuple[int, int, int]] = []
     step = 4 * k
@@ -142,7 +158,7 @@ def visit(query_: np.ndarray, upper: np.ndarray, exact: np.ndarray, ids: np.ndar
         if len(best) == k and upper[order[at]] < -best[-1][0]:
             break
         some = order[at : at + step]
-        scores = exact[some] @ query_
+        scores = scores_of(exact[some], query_)
         best = sorted([*best, *zip((-scores).tolist(), ids[some].tolist(), some.tolist(), strict=True)])[:k]
     return [(-s, p) for s, _, p in best]
 
@@ -159,7 +175,7 @@ def _exact(k: int):
                 rows = [(own[q], own_ids[q], uids[p], ids[p], s) for q in range(m)
                         for s, p in visit(asked[q], high[q], vectors, ids, uids != own[q], int(least[q]), k)]
                 if rows:
-                    yield pa.record_batch([pa.array(np.array(c, dtype=np.int64)) for c in zip(*rows, strict=True)],
+                    yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)],
                                           names=["q_uid", "query_id", "uid", "vec_id", "score"])
 
     return exact
@@ -171,7 +187,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
 
     Queries are the rows whose id is divisible by ``every``, candidates all rows but the query's own (a repeated row is another row, and a query of
     its own). Vectors that are null, or hold null or non-finite components, and rows without an id take no part. Vectors of different lengths never
-    meet. Scaled components are held within 2^27 of zero. Ties go to smaller ids; ranks run from 1.
+    meet. Scores are exact at every size; a scaled component beyond 2^61 and a result beyond 64 bits are refused with an error. Ties go to smaller ids; ranks run from 1.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.monotonically_increasing_id().alias("uid"), F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"))
@@ -208,19 +224,18 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _pack_low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A query with fewer than k candidates has no threshold: the least integer stands for it."""
-    least = np.iinfo(np.int64).min
     for batch in batches:
-        lows = [np.array([least if x["low"] is None else x["low"] for x in row], dtype=np.int64).tobytes() for row in batch.column("lows").to_pylist()]
+        lows = [np.array([_NONE if x["low"] is None else x["low"] for x in row], dtype=np.int64).tobytes() for row in batch.column("lows").to_pylist()]
         columns = {c: batch.column(c) for c in ("dims", "q_part", "q_n", "q_ids", "q_uids", "q_exact")}
         yield pa.record_batch([*columns.values(), pa.array(lows, pa.binary())], names=[*columns, "q_low"])
 
 
 SQL = """
-with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+with v as materialized (select row_number() over () as uid, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
            where embedding is not null and vec_id is not null
              and list_count(embedding) = len(embedding) and not list_contains(list_transform(embedding, lambda x: isfinite(x)), false)),
 s as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.e, c.e)::bigint as score
-      from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id),
+      from v q join v c on q.vec_id % 50 = 0 and c.uid <> q.uid),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 5
 """
