@@ -94,3 +94,38 @@ def test_intervals_count_phrases():
         want = Counter(t for k in range(len(text) - size + 1) if 0 not in (t := tuple(text[k : k + size])))
         assert {p: x[2] for p, x in grown.items()} == want
         state = grown
+
+
+@pytest.mark.parametrize("bits", [20, 26, 29])
+def test_filters_hold_all_frequent_hashes_and_few_others(spark, bits):
+    r = np.random.default_rng(bits)
+    hashes = co.hashed("en", r.integers(1, 1 << 62, (4000, 2)))
+    parts = []
+    for k in range(7):  # the first 300 reach 2100 in all and no more than 300 in any shard
+        buckets, cells, times = co.cell_rows(hashes, np.where(np.arange(4000) < 300, 300, 1), bits)
+        parts += [(b, bytearray(c), bytearray(t)) for b, c, t in zip(buckets, cells, times, strict=True)]
+    rows = spark.createDataFrame(parts, co._CELLS)
+    passed = co.Filter(rows, bits, 2100)(hashes)
+    assert passed[:300].all() and passed[300:].mean() < 0.01
+    assert not co.Filter(rows, bits, 2108)(hashes)[:300].all()
+
+
+def test_words_that_share_an_id_get_new_ones(spark):
+    data = corpus()
+    totals, phrases = co.phrase_counts(documents(spark, data), min_count=20, shard_words=500, id_bits=11)
+    _, plain = co.phrase_counts(documents(spark, data), min_count=20, shard_words=500)
+    assert sorted(map(tuple, phrases.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_index_needs_no_join_and_sends_no_row_for_rare_extensions(spark):
+    """A shard gives its counts in a row for each bucket."""
+    words = [f"w{k % 211}x" for k in range(211 * 40)]
+    random.Random(1).shuffle(words)
+    tokens = np.r_[np.unique(words, return_inverse=True)[1] + 1, 0].astype(np.int32)
+    index = co.Index.of(tokens, np.r_[0, np.arange(1, 212)], 4)  # 8 440 pairs, most of them different
+    row = {"lang": "en", "symbols": index.symbols.tobytes(), "forward": index.sides[co.LEFT].tobytes(), "reverse": index.sides[co.RIGHT].tobytes()}
+    import pyarrow as pa
+
+    got = list(co._scan(1, 5, 20, [])(iter([pa.RecordBatch.from_pylist([row])])))
+    assert sum(len(b) for b in got) <= 256
+    assert sum(sum(t.as_py()) for b in got for t in b.column("times")) == len(words) - 1

@@ -1,23 +1,26 @@
 """Operator 12: phrase collocations from an FM-index per shard.
 
-A shard is about ``SHARD_WORDS`` words of one language, whole texts. Its words are numbered in byte order of first use, words that are too
-rare over the whole language become breaks, and two Burrows-Wheeler transforms are kept: of the numbers and of the numbers reversed (sorted by one
-word less than the longest phrase has, which is all that intervals of phrases to be extended need). A phrase is a pair of intervals of equal width, its count.
+A shard is about ``SHARD_WORDS`` words of one language, whole texts. Two Burrows-Wheeler transforms of it are kept: of its words and of its words reversed
+(sorted by one word less than the longest phrase has, which is all that intervals of phrases to be extended need). Words that are too rare over the whole
+language are breaks in it. A phrase is a pair of intervals of equal width, its count.
 
 Phrases grow by one word in each round, to the right in even rounds and to the left in odd ones, so each is reached along one path. All extensions of a
-phrase in a shard and their counts are the symbols under one of its intervals. Counts are summed over shards; only phrases that reach ``MIN_COUNT``
-go back to the shards, which step their intervals and extend them again. A phrase is never rarer than one that holds it: nothing is lost.
+phrase in a shard and their counts are the symbols under one of its intervals. Most extensions are rare; they are not sent as rows. A shard gives their
+counts by cells of a hash, the cells are summed over shards, and a bitmap of the cells that reach ``MIN_COUNT`` goes back to the shards: every frequent
+phrase lies in such a cell. The phrases in those cells are then counted by their words. A phrase is never rarer than one that holds it: nothing is lost.
 
-No vocabulary is broadcast whole to the tasks: words and phrases meet their shards in equi-joins.
+A word's id is a hash, taken anew with another salt if two words of a language share one. Bitmaps have a fixed largest size, the only thing sent to all tasks.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -163,23 +166,115 @@ class Index:
         return owner[word], symbol[word], stepped[word], across[word], times[word]
 
 
-_INDEX = "shard bigint, lang string, symbols binary, forward binary, reverse binary"
-_ROWS = "shard bigint, phrase bigint, word bigint, low bigint, rlow bigint, n bigint"  # a phrase's intervals (word null), or a count of an extension
+_INDEX = "lang string, symbols binary, forward binary, reverse binary"
+_CELLS = "bucket int, cells binary, times binary"
+_FOUND = f"lang string, ids binary, n binary, {_CELLS}"  # of a shard and bucket: phrases and their counts, or counts of cells
+ID_BITS = 63
+FILTER_BITS = 26  # a filter has at most this power of two of bits: 8 MiB
+BUCKET_BITS = 8, 11  # least and most; more than the least beyond a million cells a bucket
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _build(depth: int):
-    def build(shards: pa.Table, known: pa.Table) -> pa.Table:
-        if not shards.num_rows or not known.num_rows:
-            return pa.table({"shard": pa.array([], pa.int64()), "lang": pa.array([], pa.string()),
-                             **{c: pa.array([], pa.binary()) for c in ("symbols", "forward", "reverse")}})
-        row = shards.to_pylist()[0]
-        tokens = np.frombuffer(row["tokens"], dtype=np.int32)
-        ids = np.zeros(int(tokens.max()) + 1, dtype=np.int64)
-        ids[known.column("number").to_numpy()] = known.column("id").to_numpy()
-        made = Index.of(tokens, ids, depth)
-        forward, reverse = (made.sides[s].tobytes() for s in (LEFT, RIGHT))
-        return pa.table({"shard": pa.array([row["shard"]], pa.int64()), "lang": pa.array([row["lang"]]), "symbols": pa.array([made.symbols.tobytes()], pa.binary()),
-                         "forward": pa.array([forward], pa.binary()), "reverse": pa.array([reverse], pa.binary())})
+def word_ids(words: list[bytes], salt: bytes, id_bits: int) -> np.ndarray:
+    digest, mask = xxhash.xxh64_intdigest, (1 << id_bits) - 1
+    return np.fromiter((max(1, digest(w + salt, 42) & mask) for w in words), np.int64, len(words))
+
+
+def hashed(lang: str, ids: np.ndarray) -> np.ndarray:
+    """64 bits for each row of word ids, the order of words and the language included."""
+    out = np.full(len(ids), xxhash.xxh64_intdigest(lang.encode()), dtype=np.uint64)
+    for k in range(ids.shape[1]):
+        out = (out ^ ids[:, k].astype(np.uint64)) * _MIX
+        out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(32))
+
+
+def bucket_bits(bits: int) -> int:
+    least, most = BUCKET_BITS
+    return max(least, min(bits - 20, most))
+
+
+def by_bucket(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, list[int], list[tuple[int, int]]]:
+    """(order of the hashes by bucket, buckets, their spans in it)."""
+    bucket = (hashes >> np.uint64(64 - bucket_bits(bits))).astype(np.uint16)
+    order = np.argsort(bucket, kind="stable")
+    names, starts = np.unique(bucket[order], return_index=True)
+    spans = zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)], strict=False)
+    return order, names.tolist(), list(spans) if len(bucket) else []
+
+
+def cell_rows(hashes: np.ndarray, times: np.ndarray, bits: int) -> tuple[list[int], list[bytes], list[bytes]]:
+    """(buckets, cells, times): counts by the first ``bits`` bits of the hashes, a byte for each; a larger count takes several entries."""
+    low = bits - bucket_bits(bits)
+    entries = -(-times // 255)
+    part = np.full(int(entries.sum()), 255, dtype=np.uint8)
+    part[np.cumsum(entries) - 1] = times - 255 * (entries - 1)
+    hashes = np.repeat(hashes, entries)
+    order, buckets, spans = by_bucket(hashes, bits)
+    cell = ((hashes >> np.uint64(64 - bits)) & np.uint64((1 << low) - 1)).astype(np.uint16 if low <= 16 else np.uint32)[order]
+    part = part[order]
+    return buckets, [cell[i:j].tobytes() for i, j in spans], [part[i:j].tobytes() for i, j in spans]
+
+
+def _reached(bits: int, least: int):
+    low = bits - bucket_bits(bits)
+    kept = min(bits, FILTER_BITS) - bucket_bits(bits)
+
+    def reached(rows: pa.Table) -> pa.Table:
+        """The bucket's part of the filter: a bit for each run of cells one of which counts ``least`` or more."""
+        counts = np.zeros(1 << low, dtype=np.int64)
+        for cells, times in zip(rows.column("cells"), rows.column("times"), strict=True):
+            cell = np.frombuffer(cells.as_py(), dtype=np.uint16 if low <= 16 else np.uint32)
+            np.add.at(counts, cell, np.frombuffer(times.as_py(), dtype=np.uint8))
+        marks = (counts >= least).reshape(1 << kept, -1).any(axis=1)
+        return pa.table({"bucket": rows.column("bucket").slice(0, 1), "marks": pa.array([np.packbits(marks).tobytes()], pa.binary())})
+
+    return reached
+
+
+class Filter:
+    """Which hashes may be frequent: all that are, and a few others. Its size does not grow with the vocabulary."""
+
+    def __init__(self, cells: DataFrame, bits: int, least: int):
+        parts = cells.select("bucket", "cells", "times").groupBy("bucket").applyInArrow(_reached(bits, least), "bucket int, marks binary").collect()
+        self.bits = min(bits, FILTER_BITS)
+        each = 1 << (self.bits - bucket_bits(bits))
+        marks = np.zeros((1 << bucket_bits(bits), -(-each // 8)), dtype=np.uint8)
+        for row in parts:
+            marks[row["bucket"]] = np.frombuffer(row["marks"], dtype=np.uint8)
+        self.marks = marks.reshape(-1)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes >> np.uint64(64 - self.bits)
+        return (self.marks[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1 > 0
+
+
+def _word_cells(bits: int):
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, ids = np.array(batch.column("lang").to_pylist(), dtype=object), batch.column("id").to_numpy()
+            for lang in set(langs.tolist()):
+                own = ids[langs == lang]
+                made = cell_rows(hashed(lang, own[:, None]), np.ones(len(own), dtype=np.int64), bits)
+                yield pa.record_batch([pa.array(made[0], pa.int32()), *(pa.array(x, pa.binary()) for x in made[1:])], names=["bucket", "cells", "times"])
+
+    return cells
+
+
+def _build(salt: bytes, id_bits: int, depth: int, frequent):
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                lang = batch.column("lang")[k].as_py()
+                ids = word_ids(batch.column("words")[k].as_py(), salt, id_bits)
+                ids = np.r_[0, np.where(frequent.value(hashed(lang, ids[:, None])), ids, 0)]
+                if not ids.any():
+                    continue
+                made = Index.of(np.frombuffer(batch.column("tokens")[k].as_py(), dtype=np.int32), ids, depth)
+                parts = made.symbols, made.sides[LEFT], made.sides[RIGHT]
+                yield pa.record_batch([pa.array([lang]), *(pa.array([x.tobytes()], pa.binary()) for x in parts)],
+                                      names=["lang", "symbols", "forward", "reverse"])
 
     return build
 
@@ -190,82 +285,107 @@ def _read(row: dict) -> Index:
     return Index(symbols, np.frombuffer(row["forward"], dtype=kind), np.frombuffer(row["reverse"], dtype=kind))
 
 
-def _rows(shard: int, index: Index, phrase: np.ndarray, low: np.ndarray, rlow: np.ndarray, n: np.ndarray, side: str | None) -> pa.Table:
-    """The phrases' intervals and the counts of their extensions on this side."""
-    parts = [(phrase, np.full(len(phrase), -1), low, rlow, n)]
-    if side:
-        owner, symbol, times = index.extensions(side, rlow if side == RIGHT else low, n)
-        nothing = np.zeros(len(owner), dtype=np.int64)
-        parts.append((phrase[owner], index.symbols[symbol - 1], nothing, nothing, times))
-    made = [np.concatenate(c).astype(np.int64) for c in zip(*parts, strict=True)]
-    columns = [pa.array(np.full(len(made[0]), shard)), pa.array(made[0]), pa.array(made[1], mask=made[1] < 0), *map(pa.array, made[2:])]
-    return pa.table(columns, names=[x.split()[0] for x in _ROWS.split(", ")])
-
-
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            index = _read(row)
-            low, n = index.words()
-            yield from _rows(row["shard"], index, index.symbols, low, low, n, RIGHT).to_batches(1 << 16)
-
-
-def _grow(side: str, after: str | None):
-    def grow(indexes: pa.Table, chosen: pa.Table) -> pa.Table:
-        """Steps the intervals of this shard's phrases to the chosen extensions (id) and counts the extensions of those."""
-        if not indexes.num_rows or not chosen.num_rows:
-            return pa.schema([(x.split()[0], pa.int64()) for x in _ROWS.split(", ")]).empty_table()
-        row = indexes.to_pylist()[0]
-        index = _read(row)
-        phrase, word, low, rlow, n, ids = (chosen.column(c).to_numpy() for c in ("phrase", "word", "low", "rlow", "n", "id"))
-        _, first, parent = np.unique(phrase, return_index=True, return_inverse=True)
-        own, opposite = (rlow, low) if side == RIGHT else (low, rlow)
-        owner, symbol, stepped, across, times = index.extend(side, own[first], opposite[first], n[first])
-        base = len(index.symbols) + 1
-        found = owner * base + symbol  # rising
-        known = np.minimum(np.searchsorted(index.symbols, word), len(index.symbols) - 1)
-        wanted = np.where(index.symbols[known] == word, parent.reshape(-1) * base + known + 1, -1)
-        at = np.minimum(np.searchsorted(found, wanted), max(0, len(found) - 1))
-        hit = found[at] == wanted if len(found) else np.zeros(len(wanted), dtype=bool)
-        at = at[hit]
-        low, rlow = (across[at], stepped[at]) if side == RIGHT else (stepped[at], across[at])
-        return _rows(row["shard"], index, ids[hit], low, rlow, times[at], after)
-
-    return grow
+def _side(size: int) -> str:
+    return RIGHT if size % 2 == 0 else LEFT
+
+
+def _joined(side: str, heads: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return np.c_[heads, word] if side == RIGHT else np.c_[word, heads]
+
+
+def _scan(size: int, max_words: int, bits: int, filters: list):
+    """Grows phrases to ``size`` words, keeping those that the filters of sizes 2 and more let pass; gives their counts and cells of their extensions."""
+
+    def found(lang: str, index: Index) -> Iterator[pa.RecordBatch]:
+        low, n = index.words()
+        rlow, ids = low, index.symbols[:, None]
+        for m in range(2, size + 1):
+            side = _side(m)
+            own, opposite = (rlow, low) if side == RIGHT else (low, rlow)
+            owner, symbol, stepped, across, n = index.extend(side, own, opposite, n)
+            ids = _joined(side, ids[owner], index.symbols[symbol - 1])
+            low, rlow = (across, stepped) if side == RIGHT else (stepped, across)
+            hashes = hashed(lang, ids)
+            some = np.nonzero(filters[m - 2].value(hashes))[0]
+            hashes, ids, low, rlow, n = hashes[some], ids[some], low[some], rlow[some], n[some]
+        if size > 1 and len(n):
+            order, buckets, spans = by_bucket(hashes, bits)
+            own, counts = ids[order], n[order].astype(np.int64)
+            parts = [buckets, [own[i:j].tobytes() for i, j in spans], [counts[i:j].tobytes() for i, j in spans]]
+            yield pa.record_batch([pa.array([lang] * len(spans)), pa.array(parts[1], pa.binary()), pa.array(parts[2], pa.binary()),
+                                   pa.array(buckets, pa.int32()), *[pa.nulls(len(spans), pa.binary())] * 2], names=names)
+        if size < max_words and len(n):
+            side = _side(size + 1)
+            owner, symbol, times = index.extensions(side, rlow if side == RIGHT else low, n)
+            made = cell_rows(hashed(lang, _joined(side, ids[owner], index.symbols[symbol - 1])), times, bits)
+            rows = len(made[0])
+            nothing = [pa.nulls(rows, t) for t in (pa.string(), pa.binary(), pa.binary())]
+            yield pa.record_batch([*nothing, pa.array(made[0], pa.int32()), *(pa.array(x, pa.binary()) for x in made[1:])], names=names)
+
+    names = [x.split()[0] for x in _FOUND.split(", ")]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from found(row["lang"], _read(row))
+
+    return scan
+
+
+def _summed(size: int, least: int):
+    def summed(rows: pa.Table) -> pa.Table:
+        """Counts of the bucket's phrases over all shards, those of ``least`` or more."""
+        ids = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in rows.column("ids")]).reshape(-1, size)
+        n = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in rows.column("n")])
+        order = np.lexsort(ids.T)
+        ids = ids[order]
+        starts = np.nonzero(np.r_[True, (ids[1:] != ids[:-1]).any(axis=1)])[0]
+        a = np.add.reduceat(n[order], starts)
+        ids, a = ids[starts[a >= least]], a[a >= least]
+        words = pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * size), pa.array(ids.reshape(-1)))
+        return pa.table({"lang": pa.array([rows.column("lang")[0].as_py()] * len(a), pa.string()), "words": words, "a": pa.array(a)})
+
+    return summed
 
 
 def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, shard_words: int = SHARD_WORDS, text: str = "text",
-                  lang: str = "lang") -> tuple[DataFrame, DataFrame]:
+                  lang: str = "lang", id_bits: int = ID_BITS) -> tuple[DataFrame, DataFrame]:
     """((lang, n) of all words, (lang, words, a) of every phrase of 1 to ``max_words`` words that occurs ``min_count`` times), as written tables."""
+    sc = docs.sparkSession.sparkContext
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").cast("binary").alias("body"))
     shards = written(rows.mapInArrow(
         _shards(shard_words), "shard bigint, lang string, words array<binary>, counts array<bigint>, tokens binary"), "shards")
-    listed = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "x")).select(
-        "shard", "lang", (F.col("place") + 1).alias("number"), F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    totals = written(listed.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    vocabulary = written(listed.groupBy("lang", "word").agg(F.sum("n").alias("a")).where(F.col("a") >= min_count).select(
-        (F.monotonically_increasing_id() + 1).alias("id"), "lang", "word", "a"), "vocabulary")
-    known = listed.join(vocabulary.select("id", "lang", "word"), ["lang", "word"]).select(F.col("shard").alias("home"), "number", "id")
-    indexes = written(shards.select("shard", "lang", "tokens").groupBy("shard").cogroup(known.groupBy("home")).applyInArrow(
-        _build(max(1, max_words - 1)), _INDEX), "index")
-    spelled = vocabulary.select(F.col("id").alias("word"), F.col("word").cast("string").alias("spelled"))
-    level = vocabulary.select("id", "lang", F.array(F.col("word").cast("string")).alias("words"), "a")
-    phrases = level
-    made = written(indexes.mapInArrow(_words, _ROWS), "rows") if max_words > 1 else None
-    for size in range(2, max_words + 1):
-        side, after = (RIGHT, LEFT) if size % 2 == 0 else (LEFT, RIGHT)
-        grown = written(made.where("word is not null").groupBy("phrase", "word").agg(F.sum("n").alias("a")).where(F.col("a") >= min_count).select(
-            F.monotonically_increasing_id().alias("id"), "phrase", "word", "a"), "grown")
-        parents = level.select(F.col("id").alias("phrase"), "lang", F.col("words").alias("head"))
-        one = F.array("spelled")
-        words = F.concat("head", one) if side == RIGHT else F.concat(one, "head")
-        level = written(grown.join(parents, "phrase").join(spelled, "word").select("id", "lang", words.alias("words"), "a"), "level")
-        phrases = phrases.unionByName(level)
-        if size < max_words:
-            chosen = made.where("word is null").drop("word").join(grown.select("id", "phrase", "word"), "phrase").select(
-                "shard", "phrase", "word", "low", "rlow", "n", "id")
-            made = written(indexes.groupBy("shard").cogroup(chosen.groupBy("shard")).applyInArrow(_grow(side, after), _ROWS), "rows")
-    return totals, phrases.select("lang", "words", "a")
+    listed = shards.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("lang", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
+    counted = written(listed.groupBy("lang", "word").agg(F.sum("n").alias("a")), "words")
+    totals = written(counted.groupBy("lang").agg(F.sum("a").alias("n")), "totals")
+    size = totals.agg(F.sum("n")).first()[0] or 0
+    bits = min(40, max(20, int(size).bit_length() - 3))
+    for salt in (b"", *(bytes([k]) for k in range(1, 100))):  # until no two words of a language have one id
+        word_id = F.greatest(F.lit(1), F.xxhash64(F.concat("word", F.lit(salt))).bitwiseAND((1 << id_bits) - 1)).alias("id")
+        if counted.groupBy("lang", word_id).count().where("count > 1").isEmpty():
+            break
+    else:
+        raise ValueError("more words than the ids tell apart")
+    vocabulary = written(counted.where(F.col("a") >= min_count).select("lang", word_id, "word", "a"), "vocabulary")
+    frequent = sc.broadcast(Filter(vocabulary.select("lang", "id").mapInArrow(_word_cells(bits), _CELLS), bits, 1))
+    indexes = written(shards.select("lang", "words", "tokens").mapInArrow(_build(salt, id_bits, max(1, max_words - 1), frequent), _INDEX), "index")
+    filters, levels = [], []
+    for length in range(1, max_words + 1):
+        found = indexes.mapInArrow(_scan(length, max_words, bits, list(filters)), _FOUND)
+        if length > 1:
+            found = written(found, "found")
+            levels.append(found.where("lang is not null").select("lang", "bucket", "ids", "n").groupBy("lang", "bucket").applyInArrow(
+                _summed(length, min_count), "lang string, words array<bigint>, a bigint"))
+        if length < max_words:
+            filters.append(sc.broadcast(Filter(found.where("lang is null"), bits, min_count)))
+    phrases = vocabulary.select("lang", F.array(F.col("word").cast("string")).alias("words"), "a")
+    if levels:
+        longer = reduce(DataFrame.unionByName, levels)
+        spelled = vocabulary.select("lang", "id", F.col("word").cast("string").alias("spelled"))
+        placed = longer.select("lang", "words", "a", F.posexplode("words").alias("place", "id")).join(spelled, ["lang", "id"]).groupBy("lang", "words", "a").agg(
+            F.array_sort(F.collect_list(F.struct("place", "spelled"))).alias("x"))
+        phrases = phrases.unionByName(written(placed.select("lang", F.col("x.spelled").alias("words"), "a"), "spelled"))
+    return totals, phrases
 
 
 def collocations(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, top: int = TOP, absorbed: int = ABSORBED,
