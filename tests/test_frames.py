@@ -85,3 +85,35 @@ def test_only_accepted_frames_count(spark, good, state):
 def test_no_frames_and_only_refused_frames(spark):
     assert batch(spark, [])[1] == {}
     assert batch(spark, [("x", 0, 5, "a", "ETX", "00", None), ("x", 1, 1, "b", "ETX", "00", "checksum")])[1] == {"x": ("", 0, "INCOMPLETE_TRANSMISSION")}
+
+
+class Clock(State):
+    now, due = 1000, None
+
+    def getCurrentProcessingTimeMs(self):
+        return self.now
+
+    def setTimeoutDuration(self, ms):
+        self.due = self.now + ms
+
+
+def test_sessions_of_a_bucket_keep_their_own_state_and_timers():
+    def frames_of(name, *numbers, end=False):
+        rows = [(name, k, "FRAME", n, f"{name}{n}|", "ETX" if n == 2 else "ETB", "00", None) for k, n in enumerate(numbers)]
+        return rows + [(name, 99, "EOT", None, None, None, None, None)] * end
+
+    def run(state, *rows):
+        data = pd.DataFrame([r for part in rows for r in part],
+                            columns=["session_id", "seq", "kind", "frame_no", "text", "terminator", "checksum", "issue"])
+        data = data.astype(object).where(data.notna(), None)
+        return [tuple(x) for got in jobs._sessions(100)((7,), iter([data]), state) for x in got.itertuples(index=False)]
+
+    state = Clock()
+    assert run(state, frames_of("a", 1), frames_of("b", 1, 2, end=True), frames_of("c", 1)) == [("b", "b1|b2|", 2, "COMPLETE")]
+    assert state.due == 1100
+    state.now = 1050
+    assert run(state, frames_of("c", 2)) == [] and state.due == 1100
+    state.now = 1120  # frames of c alone: a is late, c goes on
+    assert run(state, frames_of("c", 3)) == [("a", "a1|", 1, "INCOMPLETE_TRANSMISSION")]
+    state.now, state.hasTimedOut = 1220, True
+    assert run(state) == [("c", "c1|c2|c3|", 3, "INCOMPLETE_TRANSMISSION")] and not state.exists

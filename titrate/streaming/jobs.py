@@ -54,40 +54,58 @@ def receipts(messages: DataFrame, target: str, checkpoint: str, once: bool = Tru
     return _per_batch(fresh, checkpoint, lambda rows, n: _write_batch(rows, target, n), once)
 
 
-SESSION_STATE = "expected INT, previous STRING, text STRING, frames INT, final BOOLEAN"
+SESSION_BUCKETS = 4096  # sessions share a group by a hash of their id: a group of its own for each costs more than its frames
+SESSION_STATE = ("session_id ARRAY<STRING>, expected ARRAY<INT>, previous ARRAY<STRING>, text ARRAY<STRING>, frames ARRAY<INT>, "
+                 "final ARRAY<BOOLEAN>, deadline ARRAY<LONG>")
 SESSION_OUT = "session_id STRING, raw_text STRING, n_frames INT, state STRING"
 
 
 def _sessions(timeout_ms: int | None):
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        def message(text: str, frames: int, label: str) -> pd.DataFrame:
-            return pd.DataFrame({"session_id": [key[0]], "raw_text": [text], "n_frames": [frames], "state": [label]})
+    """Folds the frames of the sessions of a bucket (without a session_id column: of the session that is the key)."""
+    columns = ("seq", "kind", "frame_no", "text", "terminator", "checksum", "issue")
 
-        expected, previous, text, frames, final = state.get if state.exists else (1, None, "", 0, False)
-        if state.hasTimedOut:
-            state.remove()
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting = {name: tuple(rest) for name, *rest in zip(*state.get, strict=True)} if state.exists else {}
+        now = state.getCurrentProcessingTimeMs() if timeout_ms is not None else None
+        arrived: dict[str, list[tuple]] = {}
+        if not state.hasTimedOut:
+            for data in batches:
+                names = data["session_id"].tolist() if "session_id" in data else [key[0]] * len(data)
+                for name, *row in zip(names, *(data[c].tolist() for c in columns), strict=True):
+                    arrived.setdefault(name, []).append(row)
+        out = []
+        if now is not None:  # also where the bucket has frames of other sessions
+            for name in [n for n, held in waiting.items() if n not in arrived and held[-1] <= now]:
+                _, _, text, frames, _, _ = waiting.pop(name)
+                out.append((name, text, frames, INCOMPLETE))
+        for name, rows in arrived.items():
+            expected, previous, text, frames, final, _ = waiting.pop(name, (1, None, "", 0, False, None))
+            rows.sort(key=lambda row: row[0])
+            for _, kind, frame_no, part, terminator, checksum, issue in rows:
+                if kind == "EOT":  # what follows is the session's next transmission
+                    if frames:
+                        out.append((name, text, frames, "COMPLETE" if final and frames <= MAX_FRAMES else INCOMPLETE))
+                    expected, previous, text, frames, final = 1, None, "", 0, False
+                    continue
+                if issue is not None:
+                    continue
+                signature = f"{int(frame_no)}\x01{part}\x01{terminator}\x01{checksum}"
+                if frame_no == (expected + 7) % 8 and signature == previous:
+                    continue
+                if frame_no == expected:
+                    # Beyond the limit frames are counted, not kept: the transmission is incomplete.
+                    text = text + part if frames < MAX_FRAMES else text
+                    expected, previous, frames, final = (expected + 1) % 8, signature, frames + 1, terminator == "ETX"
             if frames:
-                yield message(text, frames, INCOMPLETE)
-            return
-        for row in pd.concat(list(batches)).sort_values("seq").itertuples():
-            if row.kind == "EOT":  # what follows is the session's next transmission
-                if frames:
-                    yield message(text, frames, "COMPLETE" if final and frames <= MAX_FRAMES else INCOMPLETE)
-                expected, previous, text, frames, final = 1, None, "", 0, False
-                continue
-            signature = f"{row.frame_no}\x01{row.text}\x01{row.terminator}\x01{row.checksum}"
-            if row.issue is not None or (row.frame_no == (expected + 7) % 8 and signature == previous):
-                continue
-            if row.frame_no == expected:
-                # Beyond the limit frames are counted, not kept: the transmission is incomplete.
-                text = text + row.text if frames < MAX_FRAMES else text
-                expected, previous, frames, final = (expected + 1) % 8, signature, frames + 1, row.terminator == "ETX"
-        if frames:
-            state.update((expected, previous, text, frames, final))
-            if timeout_ms is not None:
-                state.setTimeoutDuration(timeout_ms)
+                waiting[name] = (expected, previous, text, frames, final, 0 if now is None else now + timeout_ms)
+        if waiting:
+            state.update(tuple(map(list, zip(*((name, *held) for name, held in waiting.items()), strict=True))))
+            if now is not None:
+                state.setTimeoutDuration(max(1, min(held[-1] for held in waiting.values()) - now))
         elif state.exists:
             state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=["session_id", "raw_text", "n_frames", "state"])
 
     return fold
 
@@ -101,9 +119,10 @@ def frame_sessions(frames: DataFrame, timeout_ms: int | None = 60_000) -> DataFr
     """Frames -> messages. Needs session_id, seq, kind (FRAME or EOT), frame_no, text, terminator, checksum, issue.
 
     A transmission ends with EOT, or after the receive timeout as incomplete; a session may send several. What one session holds is
-    bounded by the frame limit.
+    bounded by the frame limit. The state store's keys are ``SESSION_BUCKETS`` buckets of sessions; a bucket holds its open sessions.
     """
-    return frames.groupBy("session_id").applyInPandasWithState(
+    bucket = F.pmod(F.xxhash64("session_id"), F.lit(SESSION_BUCKETS))
+    return frames.withColumn("_bucket", bucket).groupBy("_bucket").applyInPandasWithState(
         _sessions(timeout_ms), SESSION_OUT, SESSION_STATE, "append", _timeout(timeout_ms))
 
 
