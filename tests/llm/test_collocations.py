@@ -129,3 +129,14 @@ def test_index_needs_no_join_and_sends_no_row_for_rare_extensions(spark):
     got = list(co._scan(1, 5, 20, [])(iter([pa.RecordBatch.from_pylist([row])])))
     assert sum(len(b) for b in got) <= 256
     assert sum(sum(t.as_py()) for b in got for t in b.column("times")) == len(words) - 1
+
+
+def test_shards_are_added_up_before_the_shuffle():
+    import pyarrow as pa
+
+    a, b = (np.array(x, dtype=np.int64).tobytes() for x in ([[1, 2], [3, 4]], [[3, 4], [5, 6]]))
+    n, m = (np.array(x, dtype=np.int64).tobytes() for x in ([10, 20], [1, 2]))
+    rows = pa.record_batch([pa.array(["en", "en", "fr"]), pa.array([9, 9, 9], pa.int32()), pa.array([a, b, b]), pa.array([n, m, m])], names=["lang", "bucket", "ids", "n"])
+    (got,) = co._folded(2)(iter([rows]))
+    found = {r["lang"]: (np.frombuffer(r["ids"], np.int64).tolist(), np.frombuffer(r["n"], np.int64).tolist()) for r in got.to_pylist()}
+    assert found == {"en": ([1, 2, 3, 4, 5, 6], [10, 21, 2]), "fr": ([3, 4, 5, 6], [1, 2])}

@@ -332,16 +332,37 @@ def _scan(size: int, max_words: int, bits: int, filters: list):
     return scan
 
 
+def _added(ids: list, n: list, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(different phrases, sums of their counts) of packed phrases and counts."""
+    words = np.concatenate([np.frombuffer(x, np.int64) for x in ids]).reshape(-1, size)
+    counts = np.concatenate([np.frombuffer(x, np.int64) for x in n])
+    order = np.lexsort(words.T)
+    words = words[order]
+    starts = np.nonzero(np.r_[True, (words[1:] != words[:-1]).any(axis=1)])[0]
+    return words[starts], np.add.reduceat(counts[order], starts)
+
+
+def _folded(size: int):
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The shards of a batch added up, before anything is shuffled."""
+        for batch in batches:
+            parts: dict[tuple, tuple[list, list]] = defaultdict(lambda: ([], []))
+            for lang, bucket, ids, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = parts[lang, bucket]
+                own[0].append(ids)
+                own[1].append(n)
+            made = [(*key, *(x.tobytes() for x in _added(*own, size))) for key, own in parts.items()]
+            if made:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*made, strict=True), batch.schema.types, strict=True)], names=batch.schema.names)
+
+    return folded
+
+
 def _summed(size: int, least: int):
     def summed(rows: pa.Table) -> pa.Table:
         """Counts of the bucket's phrases over all shards, those of ``least`` or more."""
-        ids = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in rows.column("ids")]).reshape(-1, size)
-        n = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in rows.column("n")])
-        order = np.lexsort(ids.T)
-        ids = ids[order]
-        starts = np.nonzero(np.r_[True, (ids[1:] != ids[:-1]).any(axis=1)])[0]
-        a = np.add.reduceat(n[order], starts)
-        ids, a = ids[starts[a >= least]], a[a >= least]
+        ids, a = _added(rows.column("ids").to_pylist(), rows.column("n").to_pylist(), size)
+        ids, a = ids[a >= least], a[a >= least]
         words = pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * size), pa.array(ids.reshape(-1)))
         return pa.table({"lang": pa.array([rows.column("lang")[0].as_py()] * len(a), pa.string()), "words": words, "a": pa.array(a)})
 
@@ -374,7 +395,8 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int =
         found = indexes.mapInArrow(_scan(length, max_words, bits, list(filters)), _FOUND)
         if length > 1:
             found = written(found, "found")
-            levels.append(found.where("lang is not null").select("lang", "bucket", "ids", "n").groupBy("lang", "bucket").applyInArrow(
+            levels.append(found.where("lang is not null").select("lang", "bucket", "ids", "n").mapInArrow(
+                _folded(length), "lang string, bucket int, ids binary, n binary").groupBy("lang", "bucket").applyInArrow(
                 _summed(length, min_count), "lang string, words array<bigint>, a bigint"))
         if length < max_words:
             filters.append(sc.broadcast(Filter(found.where("lang is null"), bits, min_count)))
