@@ -45,3 +45,11 @@ def test_components_and_ends(spark):
     assert [r[0] for r in rows.select(astm.component(F.col("t"), F.col("n"))).collect()] == ["b", "c", "", "a", "", "", "", None]
     texts = spark.createDataFrame([(t,) for t in ("", " ", "a", " a", "a\t", "\x00é\x1f", "é", " a", "a b", None)], "t string")
     assert all(r[0] == r[1] for r in texts.select(clip(F.col("t")), clip_column(F.col("t"))).collect())
+
+
+def test_results_are_numbered_from_one_reading(spark):
+    rows = astm.result_records(messages(spark).withColumn("row", astm.message_row()), "row")
+    numbered = astm.numbered(rows.filter("record_no <> 1"), "row")
+    assert plan(numbered).count("Generate posexplode") == 1
+    got = sorted(tuple(r) for r in numbered.select("message_id", "record_no", "ordinal").collect())
+    assert got == [("m", 0, 1), ("m", 0, 1), ("m", 2, 2), ("m", 2, 2), ("n", 0, 1)]

@@ -13,14 +13,14 @@ ASTM = tb.ASTM_SQL
 READ_COLUMNS = ("connection_id", "parts", "decimal_separator", "flag_names", "flag_raised")
 
 
-def result_rows(spark, sf_dir, *carry):
-    return astm.result_records(tb.astm_messages(spark, sf_dir), "connection_id", *carry)
+def result_rows(spark, sf_dir, **carry):
+    return astm.result_records(tb.astm_messages(spark, sf_dir).withColumns(carry), "connection_id", *carry)
 
 
-def parted_rows(spark, sf_dir):
+def parted_rows(spark, sf_dir, **carry):
     """Result records read by their profile's declared parts, flag records left out."""
     readings = tb.message_readings(spark, sf_dir).select(*READ_COLUMNS)
-    rows = astm.flag_reading(join_dimension(result_rows(spark, sf_dir), readings, ["connection_id"]))
+    rows = astm.flag_reading(join_dimension(result_rows(spark, sf_dir, **carry), readings, ["connection_id"]))
     return astm.with_parts(rows.filter(F.col("flag").isNull()))
 
 
@@ -204,4 +204,4 @@ SELECT message_id, record_no, CAST(1 + (CASE WHEN record_no > 0 THEN 1 ELSE 0 EN
    + (CASE WHEN record_no > 2 AND has3 THEN 1 ELSE 0 END) AS INTEGER) AS ordinal FROM (
   SELECT message_id, n - 1 AS record_no, l_discount > 0 AS has3 FROM astm_res WHERE n <= 4)""")
 def e18(spark, sf_dir):
-    return astm.numbered(parted_rows(spark, sf_dir)).select("message_id", "record_no", "ordinal")
+    return astm.numbered(parted_rows(spark, sf_dir, row=astm.message_row()), "row").select("message_id", "record_no", "ordinal")
