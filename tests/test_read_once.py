@@ -53,3 +53,8 @@ def test_results_are_numbered_from_one_reading(spark):
     assert plan(numbered).count("Generate posexplode") == 1
     got = sorted(tuple(r) for r in numbered.select("message_id", "record_no", "ordinal").collect())
     assert got == [("m", 0, 1), ("m", 0, 1), ("m", 2, 2), ("m", 2, 2), ("n", 0, 1)]
+
+
+def test_flags_and_results_are_classified_in_one_reading(spark):
+    """One reading of declared parts and one of profiles without, not a third for the flags."""
+    assert plan(registry.QUERIES["i07_classification"](spark, SF)).count("Generate posexplode") == 2
