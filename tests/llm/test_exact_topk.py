@@ -89,3 +89,12 @@ def test_reading_ends_once_the_result_is_certain():
     best = exact_topk.visit(vectors[0], high[0], vectors.view(Counted), np.arange(4000), np.arange(4000) != 0, -(1 << 60), 5)
     exact = vectors @ vectors[0]
     assert [s for s, _ in best] == sorted(exact[1:].tolist(), reverse=True)[:5] and sum(reads) < 400
+
+
+def test_copies_of_queries_are_never_broadcast(spark):
+    """The optimizer sees the size of one copy: broadcast, all of them would pass through the driver."""
+    docs = spark.createDataFrame(data(), SCHEMA)
+    got = exact_topk.top_k(docs)
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") >= 2

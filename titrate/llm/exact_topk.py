@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from titrate.functions.joins import join_rows
 from titrate.llm.common import table, travels, written
 from titrate.llm.registry import query
 
@@ -196,20 +197,21 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
     slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
     seat = F.pmod(F.xxhash64("block"), F.lit(slots)).cast("int").alias("slot")
     renamed = asked.select("dims", *[F.col(c).alias(f"q_{c}") for c in ("part", "n", "ids", "uids", "exact")])
-    # Each slot of blocks sees every query block once: queries are copied to slots, vectors move once.
+    # Each slot of blocks sees every query block once: queries are copied to slots, vectors move once. The optimizer knows the copies by the size of
+    # one: these joins sort and merge, or all copies would be sent through the driver.
     spread = renamed.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
     cells = blocks.select(seat, "block", "dims", "n", "uids", "cells", "lower", "upper")
-    low = spread.join(cells, ["slot", "dims"]).drop("slot", "block", "q_part", "q_ids").mapInArrow(_thresholds(k), "q_uid bigint, low bigint")
+    low = join_rows(spread, cells, ["slot", "dims"]).drop("slot", "block", "q_part", "q_ids").mapInArrow(_thresholds(k), "q_uid bigint, low bigint")
     nth = Window.partitionBy("q_uid").orderBy(F.desc("low"))
     least = low.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= k).groupBy("q_uid").agg(
         F.min(F.when(F.col("nth") == k, F.col("low"))).alias("low"))
     # Thresholds return to their query block in its order: at most query_rows of them.
     unpacked = asked.select("part", "n", F.col("uids")).mapInArrow(_unpack, "part bigint, position int, q_uid bigint")
-    packed = unpacked.join(least, "q_uid", "left").groupBy("part").agg(F.sort_array(F.collect_list(F.struct("position", "low"))).alias("lows"))
-    with_low = renamed.join(packed.select(F.col("part").alias("q_part"), "lows"), "q_part").mapInArrow(
+    packed = join_rows(unpacked, least, ["q_uid"], "left").groupBy("part").agg(F.sort_array(F.collect_list(F.struct("position", "low"))).alias("lows"))
+    with_low = join_rows(renamed, packed.select(F.col("part").alias("q_part"), "lows"), ["q_part"]).mapInArrow(
         _pack_low, T.StructType([*renamed.schema.fields, T.StructField("q_low", T.BinaryType())]))
     spread = with_low.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    found = spread.join(blocks.withColumn("slot", seat), ["slot", "dims"]).drop("slot", "block", "q_part").mapInArrow(
+    found = join_rows(spread, blocks.withColumn("slot", seat), ["slot", "dims"]).drop("slot", "block", "q_part").mapInArrow(
         _exact(k), "q_uid bigint, query_id bigint, uid bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("q_uid").orderBy(F.desc("score"), "vec_id", "uid")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
