@@ -75,3 +75,11 @@ def test_no_wrong_result_beyond_64_bits():
         hn.components_of([1e300], 256)
     big = hn.fitting(np.array([[1 << 40, 1 << 40]]), 1 << 40)
     assert int((big @ big[0])[0]) == 2 << 80
+
+
+def test_copies_of_anchors_are_never_broadcast(spark):
+    """The optimizer sees the size of one copy: broadcast, all of them would pass through the driver."""
+    got = hn.hard_negatives(spark.createDataFrame(rows(), SCHEMA))
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from titrate.functions.joins import join_rows
 from titrate.llm.common import table, travels, written
 from titrate.llm.registry import query
 
@@ -246,16 +247,19 @@ def hard_negatives(vectors: DataFrame, positives: int = POSITIVES, negatives: in
     dealt = blocks.withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(slots)).cast("int"))
 
     def met(anchors: DataFrame) -> DataFrame:
-        """Every block of anchors beside every block of vectors of its length: anchors are copied to a fixed number of slots, vectors move once."""
+        """Every block of anchors beside every block of vectors of its length: anchors are copied to a fixed number of slots, vectors move once.
+
+        Sorted and merged: the optimizer knows the copies by the size of one, and would send them all through the driver.
+        """
         spread = anchors.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))).withColumn("dims", F.col("q_dims"))
-        return spread.join(dealt, ["slot", "dims"])
+        return join_rows(spread, dealt, ["slot", "dims"])
 
     first = met(asked).mapInArrow(_positives(positives), "part bigint, position bigint, q_uid bigint, score bigint, id bigint, uid bigint")
     order = Window.partitionBy("q_uid").orderBy(F.desc("score"), "id", "uid")
     chosen = first.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= positives)
     # Back to the block of anchors: a fixed number of positives for each of a bounded number of anchors.
     packed = written(chosen.groupBy("part").agg(F.collect_list(F.struct("position", "nth", "id", "score")).alias("positives")), "positives")
-    second = met(asked.join(packed, "part")).mapInArrow(
+    second = met(join_rows(asked, packed, ["part"])).mapInArrow(
         _negatives(negatives, lowest, highest),
         "q_uid bigint, anchor_id bigint, nth bigint, positive_id bigint, positive_score bigint, score bigint, id bigint, uid bigint")
     order = Window.partitionBy("q_uid", "nth").orderBy(F.desc("score"), "id", "uid")
