@@ -24,7 +24,7 @@ def row_table(spark, sf_dir):
     """Data rows of every file with their semantic fields."""
     readings = file_readings(spark, sf_dir).select(*tabular.READING)
     rows = tabular.delimited_rows(join_dimension(files(spark, sf_dir), readings, ["connection_id"]), "connection_id")
-    return tabular.semantic_fields(join_dimension(rows, readings, ["connection_id"]))
+    return join_dimension(tabular.semantic_fields(rows), readings, ["connection_id"])
 
 
 def all_rows(spark, sf_dir):
