@@ -86,26 +86,37 @@ def signature(own: np.ndarray, permutations: np.ndarray, values: int) -> np.ndar
     return np.concatenate([least, greatest])[:values]
 
 
-def _prints(words: int, bands: int, link_blank: bool):
+def fingerprint(own: np.ndarray) -> int:
+    """SimHash of a set of hashes: each bit by the majority of its members; 0 without any."""
+    if not len(own):
+        return 0
+    counts = np.zeros(64, dtype=np.int64)
+    for k in range(0, len(own), STEP):
+        counts += np.unpackbits(own[k : k + STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(own), bitorder="little").view("<i8")[0])
+
+
+def _prints(words: int, bands: int, link_blank: bool, fuzzy: bool):
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         permutations, mixers = factors(bands)
         for batch in batches:
             uids, ids, bodies = batch.columns
             for k in range(0, batch.num_rows, 1024):
-                digests, sizes, sketches, keys = [], [], [], []
+                digests, sizes, sketches, keys, marks = [], [], [], [], []
                 for uid, text in zip(uids[k : k + 1024], bodies[k : k + 1024], strict=True):
                     own = shingles(text.as_py(), words)
                     made = signature(own, permutations, len(mixers))
                     blank = b"" if link_blank else uid.as_py().to_bytes(8, "little")
                     digests.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else b"blank" + blank)
                     sizes.append(len(own))
+                    marks.append(fingerprint(own) if fuzzy else 0)
                     sketches.append((made >> np.uint64(8)).astype(np.uint8).tobytes())
                     keys.append((made * mixers).reshape(bands, -1).sum(1, dtype=np.uint64).view(np.int64) if len(own) else np.zeros(0, np.int64))
                 offsets = np.r_[0, np.cumsum([len(x) for x in keys])].astype(np.int32)
                 yield pa.record_batch(
                     [uids[k : k + 1024], ids[k : k + 1024], pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))],
-                    names=["uid", "id", "digest", "n", "sketch", "keys"])
+                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys))), pa.array(marks, pa.int64())],
+                    names=["uid", "id", "digest", "n", "sketch", "keys", "print"])
 
     return prints
 
@@ -247,14 +258,31 @@ def _forests(percent: int, threshold: int):
     return _by_cell(give)
 
 
+def _fuzzy_pairs(nodes: DataFrame, max_bits: int) -> DataFrame:
+    """(node, leader) pairs whose fingerprints are at most ``max_bits`` bits apart, by Golay keys (see ``simhash``): of each fingerprint one node stands
+    for its others, and a bucket of fingerprints gives the edges of a spanning forest."""
+    from titrate.llm import simhash
+
+    heads = written(nodes.groupBy("print").agg(F.min("node").alias("head")), "fingerprints")
+    slots = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = heads.select("print").repartition(slots, F.xxhash64("print")).mapInArrow(simhash._keys, "key bigint, print bigint")
+    edges = keyed.repartition(F.col("key")).sortWithinPartitions("key", "print").mapInArrow(simhash._links(max_bits), "u bigint, v bigint").distinct()
+    named = edges.join(heads.select(F.col("print").alias("u"), F.col("head").alias("a")), "u").join(
+        heads.select(F.col("print").alias("v"), F.col("head").alias("b")), "v")
+    same = nodes.join(heads, "print").where("node <> head").select("node", F.col("head").alias("leader"))
+    return same.unionByName(named.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("leader")))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = SHINGLE_WORDS, percent: int = PERCENT,
-                    link_blank: bool = False, block_nodes: int = BLOCK_NODES, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+                    link_blank: bool = False, block_nodes: int = BLOCK_NODES, block_shingles: int = BLOCK_SHINGLES,
+                    fuzzy_bits: int | None = None) -> DataFrame:
     """(uid, doc_id, n_shingles, component_id, kept), one row for each row of ``docs``; uid numbers its rows as read (twice, so they must read alike).
 
     Documents are linked when 100 * intersection >= ``percent`` * union of their sets of ``words``-word shingles. A text with fewer words is one shingle.
     Texts without words (null, empty, white space) have empty sets and are linked with nothing, or with each other where ``link_blank``.
     component_id is the smallest id that is not null in the component (null when all are); of a component the row with that id, the first read of
     several, has ``kept``. Repeated rows are rows of their own. Other columns, whatever their names, are not read.
+    With ``fuzzy_bits`` sets whose SimHash fingerprints are at most so many bits apart are candidates beside those of the bands.
     """
     if not 0 < percent <= 100:
         raise ValueError("the percentage must be above 0 and at most 100")
@@ -264,16 +292,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     threshold = least_agreeing(bands * ROWS, percent)
     numbered = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("body"))
     prints = written(numbered.mapInArrow(
-        _prints(words, bands, link_blank), "uid bigint, id bigint, digest binary, n int, sketch binary, keys array<bigint>"), "prints")
+        _prints(words, bands, link_blank, fuzzy_bits is not None),
+        "uid bigint, id bigint, digest binary, n int, sketch binary, keys array<bigint>, print bigint"), "prints")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("uid"))).alias("first")
     folded = written(prints.groupBy("digest").agg(F.min("uid").alias("node"), first), "folded")
-    chosen = prints.join(folded.select(F.col("node").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("node"), "n", "sketch", "keys")
+    chosen = prints.join(folded.select(F.col("node").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("node"), "n", "sketch", "keys", "print")
     keyed = written(chosen.select(F.posexplode("keys").alias("band", "key"), "node", "n"), "keys")
     heads = keyed.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.col("n").cast("long")).alias("total"),
                                      F.min(F.struct("node", "n")).alias("lead")).where("size > 1")
     blocks = F.greatest(F.ceil(F.col("size") / block_nodes), F.ceil(F.col("total") / block_shingles)).cast("int")
     buckets = written(keyed.join(heads, "key").select("key", "band", "node", "n", blocks.alias("blocks"), "lead"), "buckets")
-    alive = buckets.select("node").distinct()
+    alive = buckets.select("node")
+    fuzzy = None
+    if fuzzy_bits is not None:
+        fuzzy = written(_fuzzy_pairs(chosen.where("n > 0").select("node", "print"), fuzzy_bits), "fuzzy")
+        alive = alive.unionByName(fuzzy.select("node")).unionByName(fuzzy.select(F.col("leader").alias("node")))
+    alive = alive.distinct()
     bodies = numbered.select(F.col("uid").alias("node"), "body").join(alive, "node", "left_semi")
     sets = written(bodies.mapInArrow(_sets(words), "node bigint, own array<bigint>"), "shingles")
 
@@ -281,6 +315,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     near_size = 100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")
     leaders = buckets.where(F.col("node") > F.col("lead.node")).where(near_size).groupBy("node", F.col("lead.node").alias("leader")).agg(
         F.count("*").alias("times")).groupBy("node").agg(F.max_by("leader", F.struct("times", -F.col("leader"))).alias("leader"))
+    if fuzzy is not None:
+        leaders = leaders.select("node", "leader").unionByName(fuzzy).distinct()
     both = leaders.join(sets.withColumnRenamed("own", "a"), "node").join(
         sets.select(F.col("node").alias("leader"), F.col("own").alias("b")), "leader")
     common = F.size(F.array_intersect("a", "b"))
